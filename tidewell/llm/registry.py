@@ -5,10 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontamination import op6_benchmark_decontamination
+from .jaccard import op2_ngram_jaccard_join
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "pipeline": corpus_pipeline.run,
     }
