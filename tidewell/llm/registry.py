@@ -6,12 +6,14 @@ import corpus_pipeline
 
 from .decontamination import op6_benchmark_decontamination
 from .jaccard import op2_ngram_jaccard_join
+from .substrings import op10_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op10_substring_dedup": op10_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
