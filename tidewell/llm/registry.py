@@ -7,12 +7,14 @@ import corpus_pipeline
 from .decontamination import op6_benchmark_decontamination
 from .jaccard import op2_ngram_jaccard_join
 from .substrings import op10_substring_dedup
+from .tokens import op7_token_counts
 
 
 def queries() -> dict:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_token_counts": op7_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
