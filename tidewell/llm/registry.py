@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .decontamination import op6_benchmark_decontamination
 from .jaccard import op2_ngram_jaccard_join
+from .mixing import op8_mixing_sources
 from .quality import op9_quality_classifier
 from .substrings import op10_substring_dedup
 from .tokens import op7_token_counts
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_counts": op7_token_counts,
+        "op8_mixing_sources": op8_mixing_sources,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_substring_dedup": op10_substring_dedup,
         "pipeline": corpus_pipeline.run,
