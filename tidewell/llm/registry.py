@@ -8,6 +8,7 @@ from .decontamination import op6_benchmark_decontamination
 from .jaccard import op2_ngram_jaccard_join
 from .mixing import op8_mixing_sources
 from .quality import op9_quality_classifier
+from .secrets import op3_secret_scan
 from .substrings import op10_substring_dedup
 from .tokens import op7_token_counts
 
@@ -15,6 +16,7 @@ from .tokens import op7_token_counts
 def queries() -> dict:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_secret_scan": op3_secret_scan,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_counts": op7_token_counts,
         "op8_mixing_sources": op8_mixing_sources,
