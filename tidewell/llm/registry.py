@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .chat import OP1_SQL, op1_chat_formatting
 from .decontamination import op6_benchmark_decontamination
 from .jaccard import op2_ngram_jaccard_join
 from .mixing import op8_mixing_sources
@@ -15,6 +16,7 @@ from .tokens import op7_token_counts
 
 def queries() -> dict:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -27,7 +29,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out = {"op1_chat_formatting": OP1_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
