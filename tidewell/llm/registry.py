@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat import OP1_SQL, op1_chat_formatting
 from .decontamination import op6_benchmark_decontamination
+from .fingerprints import op4_document_fingerprints
 from .jaccard import op2_ngram_jaccard_join
 from .mixing import op8_mixing_sources
 from .quality import op9_quality_classifier
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
+        "op4_document_fingerprints": op4_document_fingerprints,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_counts": op7_token_counts,
         "op8_mixing_sources": op8_mixing_sources,
