@@ -13,6 +13,7 @@ from .quality import op9_quality_classifier
 from .secrets import op3_secret_scan
 from .substrings import op10_substring_dedup
 from .tokens import op7_token_counts
+from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_warc": op5_warc,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_token_counts": op7_token_counts,
         "op8_mixing_sources": op8_mixing_sources,
@@ -31,7 +33,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_chat_formatting": OP1_SQL}
+    out = {"op1_chat_formatting": OP1_SQL, "op5_warc": OP5_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
