@@ -1,12 +1,90 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, secrets, and the mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The
+first four return documents with their own columns; the last returns how often each document
+that is left goes into the mix. run() writes each stage's result as Parquet in the shared
+folder and rereads it, so a lost executor costs at most part of one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontamination, jaccard, mixing, quality, secrets
+from tidewell.llm._shared import Workspace
+from tidewell.sources.tables import table
 
+#: The model stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
-STAGES: list = []
+
+#: Ids of dropped near duplicates that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    net = quality.train(spark, docs, table(spark, sf_dir, "labels").where(f"not ({quality.HELD_OUT})"))
+    return quality.quality_scores(spark, docs, net).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, that with the smallest id.
+
+    Rows without an id stay; of rows that repeat one id, one with the least text stays.
+    """
+    ws = Workspace(spark, "pipeline")
+    groups = ws.put(jaccard.jaccard_components(spark, docs), "groups")
+    drop = ws.put(groups.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    n = drop.count()
+    kept = docs.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, "doc_id", "left_anti")
+    twice = ws.put(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
+    if n := twice.count():
+        some = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+        again = kept.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
+        once = again.select("doc_id", "row.*").select(*docs.columns)
+        kept = kept.join(some, "doc_id", "left_anti").select(*docs.columns).union(once)
+    return kept.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontamination.contamination(spark, docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked in the text; n_chars follows."""
+    found = secrets.scan_secrets(spark, docs)
+    change = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        change["n_chars"] = F.when(F.size("findings") > 0, F.char_length("redacted").cast(kind)).otherwise(F.col("n_chars"))
+    return found.withColumns(change).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document in the mix of sources."""
+    return mixing.mix_sources(spark, docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of sf_dir."""
+    ws = Workspace(spark, "corpus")
+    docs = table(spark, sf_dir, "documents")
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = ws.put(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
