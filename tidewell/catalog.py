@@ -1,15 +1,514 @@
-"""All queries outside the llm subpackage: name to (Spark callable, DuckDB text)."""
+"""All queries outside the llm subpackage: name to Spark callable, and the same in DuckDB's SQL.
+
+Sums of doubles go through decimals on both sides, so that results do not depend on order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .operators import relational as R
+from .operators import text as X
+from .operators import vectors as V
+from .sources.tables import table, views
+from .streaming import queries as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_SPARK: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _SPARK[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _same(name: str, tables: str, sql: str, duck: str | None = None) -> None:
+    """A query whose Spark form is SQL too."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        views(spark, sf, tables.split())
+        return spark.sql(sql)
+
+    _SPARK[name] = run
+    _SQL[name] = duck or sql
+
+
+REVENUE = "sum(cast(l_extendedprice as decimal(18,4)) * (1 - cast(l_discount as decimal(18,4))))"
+
+
+# --- scans, filters, projections -------------------------------------------------------------
+
+
+@_add("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").where("l_shipdate >= timestamp_ntz '1998-01-01' and l_discount between 0.05D and 0.07D and l_quantity < 24")
+    return d.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+def _round_trip(fmt: str, **options: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from .sources.formats import round_trip
+
+        return round_trip(spark, table(spark, sf, "nation"), fmt, **options)
+
+    return run
+
+
+for _fmt, _opt in (("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"header": "true"})):
+    _SPARK[f"sink_source_{_fmt}"] = _round_trip(_fmt, **_opt)
+    _SQL[f"sink_source_{_fmt}"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+@_add("partitioned_sink_pruned_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, sf):
+    from .sources.formats import partitioned
+
+    return partitioned(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+
+
+# --- joins ---------------------------------------------------------------------------------
+
+
+@_add(
+    "join_six_tables",
+    f"SELECT n_name, cast({REVENUE} AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey "
+    "JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name",
+)
+def _(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    j = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    j = j.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("n_name").agg(F.sum(R.exact("l_extendedprice") * (1 - R.exact("l_discount"))).cast("double").alias("revenue"))
+
+
+for _kind in ("left", "right", "full"):
+
+    def _outer(spark, sf, kind=_kind):
+        c = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment")
+        o = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+        return c.join(o, c.c_custkey == o.o_custkey, kind).select("c_custkey", "c_mktsegment", "o_orderkey", "o_custkey")
+
+    _SPARK[f"join_{_kind}_outer"] = _outer
+    _SQL[f"join_{_kind}_outer"] = (
+        "SELECT c_custkey, c_mktsegment, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c "
+        f"{_kind.upper()} JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c_custkey = o_custkey"
+    )
+
+
+@_add("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def _(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@_add("join_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def _(spark, sf):
+    return table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+_same("join_not_in_null_aware", "orders lineitem", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT CASE WHEN l_orderkey >= 0 THEN l_orderkey END FROM lineitem)")
+_same("join_theta", "supplier nation", "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
+_same("join_cross_small", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+_same(
+    "join_lateral", "customer orders",
+    "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
+)
+
+
+@_add(
+    "join_interval",
+    "SELECT c.event_id AS l_event_id, p.event_id AS r_event_id, user_id FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'purchase') p USING (user_id) "
+    "WHERE epoch(p.ts)::BIGINT > epoch(c.ts)::BIGINT AND epoch(p.ts)::BIGINT <= epoch(c.ts)::BIGINT + 86400",
+)
+def _(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.date_trunc("second", "ts"))
+    return R.interval_join(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"], "ts", 86400, ["event_id"], ["event_id"]).select("l_event_id", "r_event_id", "user_id")
+
+
+@_add(
+    "join_as_of",
+    "SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts > v.ts",
+)
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    out = R.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'"), "user_id", "ts", "value", "last_view", "event_id")
+    return out.select("event_id", "user_id", "last_view")
+
+
+# --- subqueries and CTEs ---------------------------------------------------------------------
+
+_same("subquery_correlated_scalar", "lineitem", "SELECT count(*) AS n FROM lineitem l WHERE l_quantity < (SELECT avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
+_same("subquery_uncorrelated", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(cast(o_totalprice AS DECIMAL(18,2))) * 1.8 FROM orders)")
+_same("cte_recursive", "nation", "WITH RECURSIVE t(n, f) AS (SELECT 1, cast(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT cast(n AS BIGINT) AS n, f FROM t")
+_same(
+    "qualify_as_filter", "events",
+    "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) t WHERE k = 1",
+    "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1",
+)
+
+# --- aggregation -----------------------------------------------------------------------------
+
+
+@_add(
+    "agg_pricing_summary",
+    "SELECT l_returnflag, l_linestatus, cast(sum(cast(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, cast(sum(cast(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS sum_base, "
+    f"cast({REVENUE} AS DOUBLE) AS sum_net, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL",
+)
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'")
+    return d.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum(R.exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(R.exact("l_extendedprice")).cast("double").alias("sum_base"),
+        F.sum(R.exact("l_extendedprice") * (1 - R.exact("l_discount"))).cast("double").alias("sum_net"), F.count("*").alias("n"),
+    )
+
+
+@_add("agg_count_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY event_type")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct(F.date_trunc("day", "ts")).alias("days"))
+
+
+@_add("agg_salted_hot_key", "SELECT l_returnflag, cast(sum(cast(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS qty FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    return R.salted_sum(table(spark, sf, "lineitem"), "l_returnflag", R.exact("l_quantity"), "qty").select("l_returnflag", F.col("qty").cast("double").alias("qty"))
+
+
+@_add("agg_filtered", "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id HAVING count(*) > 3")
+def _(spark, sf):
+    d = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.count("*").alias("n"))
+    return d.where("n > 3").drop("n")
+
+
+for _how in ("CUBE", "ROLLUP"):
+    _same(
+        f"agg_{_how.lower()}", "lineitem",
+        f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY {_how} (l_returnflag, l_linestatus)",
+    )
+_same(
+    "agg_grouping_sets", "events",
+    "SELECT event_type, user_id, cast(grouping(user_id) AS BIGINT) AS over_users, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id), ())",
+)
+_same(
+    "agg_pivot", "orders",
+    "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
+    "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1",
+)
+
+
+def _pivot_zero(spark, sf):
+    d = table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
+    return d.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+
+
+_SPARK["agg_pivot"] = _pivot_zero
+
+
+@_add("unpivot", "SELECT s_suppkey, 'key' AS what, cast(s_nationkey AS DOUBLE) AS amount FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier")
+def _(spark, sf):
+    d = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("key"), F.col("s_acctbal").alias("balance"))
+    return R.unpivot(d, ["s_suppkey"], ["key", "balance"], "what", "amount")
+
+
+@_add("agg_exact_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, min(value) + 0.0 AS low, max(value) AS high FROM events GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"), (F.min("value") + 0.0).alias("low"), F.max("value").alias("high"))
+
+
+@_add("agg_collect_and_extremes", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, arg_max(n_name, n_nationkey) AS last_name, bit_xor(n_nationkey) AS keys FROM nation GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"), F.max_by("n_name", "n_nationkey").alias("last_name"), F.bit_xor("n_nationkey").alias("keys"))
+
+
+@_add("agg_approximate")
+def _(spark, sf):
+    """Sketches merged from parts: distinct users, a quantile, and the most frequent types."""
+    d = table(spark, sf, "events")
+    daily = d.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("sketch"))
+    whole = daily.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+    return whole.crossJoin(d.agg(F.percentile_approx("value", 0.5, 1000).alias("median")))
+
+
+# --- windows -----------------------------------------------------------------------------------
+
+_same(
+    "window_ranks", "events",
+    "SELECT event_id, cast(row_number() OVER w AS BIGINT) AS rn, cast(rank() OVER w AS BIGINT) AS rk, cast(dense_rank() OVER w AS BIGINT) AS dr, cast(ntile(4) OVER w AS BIGINT) AS quartile, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id)",
+)
+_same(
+    "window_lag_lead", "events",
+    "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2, cast(-1 AS BIGINT)) OVER w AS later, first_value(event_type) OVER w AS first_type, nth_value(event_id, 2) OVER w AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+)
+_same(
+    "window_rows_frame", "events",
+    "SELECT event_id, cast(sum(cast(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) AS recent FROM events",
+)
+_same(
+    "window_range_frame", "events",
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS in_a_day FROM events",
+)
+
+
+@_add("top_k_per_group", "SELECT l_returnflag, l_orderkey, l_extendedprice, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey) <= 5")
+def _(spark, sf):
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")]
+    return R.top_per_group(table(spark, sf, "lineitem"), ["l_returnflag"], order, 5).select("l_returnflag", "l_orderkey", "l_extendedprice", "l_partkey")
+
+
+@_add("window_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
+    d = table(spark, sf, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return d.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "users")
+
+
+@_add("window_sliding", "SELECT s AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1")
+def _(spark, sf):
+    d = table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return d.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@_add(
+    "window_session",
+    "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM "
+    "(SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
+)
+def _(spark, sf):
+    d = table(spark, sf, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return d.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# --- sorts, limits, set operations ---------------------------------------------------------------
+
+
+@_add("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
+def _(spark, sf):
+    return table(spark, sf, "orders").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+
+
+@_add("sort_total", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_acctbal").orderBy(F.col("c_acctbal").asc_nulls_first(), "c_custkey")
+
+
+_same("sort_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
+for _op in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"):
+    _same(f"set_{_op.lower().replace(' ', '_')}", "customer supplier", f"SELECT c_nationkey AS k FROM customer WHERE c_custkey < 90 {_op} SELECT s_nationkey AS k FROM supplier WHERE s_suppkey > 2")
+_same("distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+_same("values_and_case", "nation", "SELECT v.k, CASE v.k WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS word FROM (VALUES (1), (2), (3)) AS v(k)")
+
+
+@_add("sample_by_hash", "SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5(cast(o_orderkey AS VARCHAR)), 1, 4))::BIGINT < 6554")
+def _(spark, sf):
+    """A sampling operator: a tenth of the rows, the same ones on every run."""
+    return table(spark, sf, "orders").where(F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("long") < 6554).select("o_orderkey")
+
+
+# --- scalar functions ------------------------------------------------------------------------------
+
+_same(
+    "fn_string", "part",
+    "SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, cast(length(p_name) AS BIGINT) AS len, substr(p_name, 2, 4) AS mid, trim('  a ') AS t, replace(p_type, ' ', '_') AS rep, lpad(p_brand, 12, '*') AS padded, reverse(p_brand) AS rev, "
+    "concat_ws('-', p_brand, p_type) AS joined, cast(levenshtein(p_name, p_type) AS BIGINT) AS distance, split_part(p_name, ' ', 1) AS word, md5(p_name) AS digest, left(p_name, 3) AS l3, right(p_name, 3) AS r3, repeat('ab', 2) AS rp, translate(p_brand, 'Bb', 'xX') AS tr, ascii(p_name) AS code FROM part",
+)
+_same(
+    "fn_regex", "part",
+    "SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '') AS bare, regexp_extract(p_brand, '([0-9]+)', 1) AS number, p_type LIKE '%a%' AS has_a FROM part",
+    "SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '', 'g') AS bare, regexp_extract(p_brand, '([0-9]+)', 1) AS number, p_type LIKE '%a%' AS has_a FROM part",
+)
+_same(
+    "fn_math", "supplier",
+    "SELECT s_suppkey, abs(s_acctbal) AS a, cast(floor(s_acctbal) AS BIGINT) AS f, cast(ceil(s_acctbal) AS BIGINT) AS c, round(sqrt(abs(s_acctbal)), 6) AS r, round(ln(abs(s_acctbal) + 1), 6) AS l, cast(sign(s_acctbal) AS BIGINT) AS s, cast(s_suppkey % 7 AS BIGINT) AS m, round(power(s_nationkey, 2), 3) AS p, greatest(s_nationkey, 9) AS g, least(s_nationkey, 9) AS le, round(cbrt(abs(s_acctbal)), 6) AS cb, round(exp(s_nationkey / 10.0), 6) AS e FROM supplier",
+)
+_same(
+    "fn_date", "orders",
+    "SELECT o_orderkey, cast(year(o_orderdate) AS BIGINT) AS y, cast(quarter(o_orderdate) AS BIGINT) AS q, cast(month(o_orderdate) AS BIGINT) AS m, cast(day(o_orderdate) AS BIGINT) AS d, cast(dayofweek(o_orderdate) - 1 AS BIGINT) AS w, cast(dayofyear(o_orderdate) AS BIGINT) AS doy, cast(weekofyear(o_orderdate) AS BIGINT) AS week, cast(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS month_start, cast(last_day(o_orderdate) AS DATE) AS month_end, cast(datediff(cast(o_orderdate AS DATE), DATE '1995-01-01') AS BIGINT) AS days, cast(o_orderdate + INTERVAL '1' MONTH AS TIMESTAMP_NTZ) AS later FROM orders",
+    "SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofweek(o_orderdate) AS w, dayofyear(o_orderdate) AS doy, weekofyear(o_orderdate) AS week, cast(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start, last_day(o_orderdate) AS month_end, datediff('day', DATE '1995-01-01', cast(o_orderdate AS DATE)) AS days, o_orderdate + INTERVAL 1 MONTH AS later FROM orders",
+)
+_same(
+    "fn_null_and_cast", "nation",
+    "SELECT n_nationkey, nullif(n_regionkey, 1) AS n1, coalesce(nullif(n_regionkey, 2), -1) AS n2, cast(cast(n_nationkey AS VARCHAR(10)) AS INT) AS back, try_cast('x' AS INT) AS bad, n_regionkey IS DISTINCT FROM 3 AS other FROM nation",
+    "SELECT n_nationkey, nullif(n_regionkey, 1) AS n1, coalesce(nullif(n_regionkey, 2), -1) AS n2, cast(cast(n_nationkey AS VARCHAR) AS INT) AS back, try_cast('x' AS INT) AS bad, n_regionkey IS DISTINCT FROM 3 AS other FROM nation",
+)
+
+
+@_add(
+    "fn_array",
+    "SELECT p_partkey, len(string_split(p_name, ' ')) AS n, array_to_string(list_sort(string_split(p_name, ' ')), '|') AS sorted, list_contains(string_split(p_name, ' '), 'red') AS red, string_split(p_name, ' ')[1] AS first_word, "
+    "array_to_string([upper(x) FOR x IN string_split(p_name, ' ') IF len(x) > 3], '|') AS long_words, list_sum([len(x) FOR x IN string_split(p_name, ' ')])::BIGINT AS letters FROM part",
+)
+def _(spark, sf):
+    w = F.split("p_name", " ")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.size(w).cast("long").alias("n"), F.array_join(F.sort_array(w), "|").alias("sorted"), F.array_contains(w, "red").alias("red"), F.element_at(w, 1).alias("first_word"),
+        F.array_join(F.transform(F.filter(w, lambda x: F.length(x) > 3), F.upper), "|").alias("long_words"), F.aggregate(F.transform(w, lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("letters"),
+    )
+
+
+@_add("fn_map", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def _(spark, sf):
+    d = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return d.select("user_id", F.array_join(F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws("=", k, F.col("m")[k].cast("string"))), ",").alias("counts"))
+
+
+@_add("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, cast(json_extract(props, '$.k') AS BIGINT) AS k_number FROM events")
+def _(spark, sf):
+    parsed = F.from_json("props", "k long")
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), parsed["k"].alias("k_number"))
+
+
+@_add("fn_variant", "SELECT event_id, cast(json_extract(props, '$.k') AS BIGINT) + 1 AS k FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", (F.variant_get(F.parse_json("props"), "$.k", "long") + 1).alias("k"))
+
+
+@_add("fn_url", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"))
+
+
+@_add("generate_explode", "SELECT p_partkey, pos - 1 AS pos, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part)")
+def _(spark, sf):
+    d = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
+    return d.withColumn("pos", F.col("pos").cast("long"))
+
+
+# --- text --------------------------------------------------------------------------------------------
+
+
+@_add("text_word_count", r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
+
+
+@_add("text_exact_dedup", "SELECT md5(text) AS digest, min(doc_id) AS keep_id, count(*) AS copies FROM documents GROUP BY 1")
+def _(spark, sf):
+    return X.exact_duplicates(table(spark, sf, "documents"))
+
+
+@_add("text_line_dedup", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line")
+def _(spark, sf):
+    return X.line_counts(table(spark, sf, "documents"))
+
+
+@_add("text_mask_personal", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '<IP>', 'g')) AS digest FROM documents")
+def _(spark, sf):
+    return X.mask_personal(table(spark, sf, "documents")).select("doc_id", F.md5("masked").alias("digest"))
+
+
+@_add("text_from_html")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
+
+
+# --- vectors -----------------------------------------------------------------------------------------
+
+
+@_add(
+    "vector_nearest",
+    "SELECT query_id, vec_id, similarity FROM (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5",
+)
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return V.nearest(e.where("vec_id % 20 = 0"), e, 5).select("query_id", "vec_id", "similarity")
+
+
+@_add("vector_norm", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
+def _(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+
+@_add("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    return S.hourly(spark, f"{sf}/events.parquet")
+
+
+@_add("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+def _(spark, sf):
+    return S.distinct_events(spark, f"{sf}/events.parquet")
+
+
+@_add(
+    "stream_stream_join",
+    "SELECT user_id, c.event_id AS click_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'purchase') p USING (user_id) WHERE p.ts > c.ts AND p.ts <= c.ts + INTERVAL 60 MINUTE",
+)
+def _(spark, sf):
+    return S.purchases_after_clicks(spark, f"{sf}/events.parquet")
+
+
+@_add("stream_custom_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def _(spark, sf):
+    return S.user_totals(spark, f"{sf}/events.parquet")
+
+
+# --- user functions ------------------------------------------------------------------------------------
+
+
+@_add("udf_pandas_scalar", "SELECT s_suppkey, s_acctbal * 2 AS twice FROM supplier")
+def _(spark, sf):
+    @F.pandas_udf(T.DoubleType())
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    return table(spark, sf, "supplier").select("s_suppkey", twice("s_acctbal").alias("twice"))
+
+
+@_add("udf_pandas_aggregate", "SELECT n_regionkey, max(n_nationkey) - min(n_nationkey) AS spread FROM nation GROUP BY 1")
+def _(spark, sf):
+    @F.pandas_udf(T.IntegerType())
+    def spread(x: pd.Series) -> int:
+        return int(x.max() - x.min())
+
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(spread("n_nationkey").alias("spread"))
+
+
+@_add("udf_grouped_map", "SELECT user_id, event_id, cast(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n FROM events")
+def _(spark, sf):
+    def size(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(n=len(pdf))
+
+    return table(spark, sf, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(size, "user_id long, event_id long, n long")
+
+
+@_add("udf_table_function", "SELECT n_nationkey, i FROM (SELECT n_nationkey, unnest(range(n_regionkey)) AS i FROM nation)")
+def _(spark, sf):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="i bigint")
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    spark.udtf.register("tidewell_upto", Upto)
+    views(spark, sf, ["nation"])
+    return spark.sql("SELECT n_nationkey, i FROM nation, LATERAL tidewell_upto(n_regionkey)")
+
+
+@_add("udf_sql", "SELECT p_partkey, p_retailprice * 1.2 AS gross FROM part")
+def _(spark, sf):
+    views(spark, sf, ["part"])
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tidewell_gross(x DOUBLE) RETURNS DOUBLE RETURN x * 1.2D")
+    return spark.sql("SELECT p_partkey, tidewell_gross(p_retailprice) AS gross FROM part")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_SPARK)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
