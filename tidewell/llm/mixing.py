@@ -56,8 +56,8 @@ def source_targets(sources: DataFrame, most: int = 3, cycle: int = 3) -> DataFra
         .withColumn("_fill", (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_used")))
     )
     # the first source whose own cap lies at or above the level that is left ends the capping
-    level = F.min(F.when(F.col("_fill") <= F.col("_level"), F.struct("_level", F.col("_fill").alias("fill")))).over(every)["fill"]
-    target = F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(level, F.lit(0.0)) * F.col("weight"))
+    level = F.min(F.when(F.col("_fill") <= F.col("_level"), F.struct("_level", (-F.col("_fill")).alias("minus")))).over(every)["minus"]
+    target = F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(-level, F.lit(0.0)) * F.col("weight"))
     return w.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
