@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.money import exact
 from .operators import relational as R
 from .operators import text as X
 from .operators import vectors as V
@@ -90,7 +91,7 @@ def _(spark, sf):
     j = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     j = j.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name").agg(F.sum(R.exact("l_extendedprice") * (1 - R.exact("l_discount"))).cast("double").alias("revenue"))
+    return j.groupBy("n_name").agg(F.sum(exact("l_extendedprice") * (1 - exact("l_discount"))).cast("double").alias("revenue"))
 
 
 for _kind in ("left", "right", "full"):
@@ -168,8 +169,8 @@ _same(
 def _(spark, sf):
     d = table(spark, sf, "lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'")
     return d.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(R.exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(R.exact("l_extendedprice")).cast("double").alias("sum_base"),
-        F.sum(R.exact("l_extendedprice") * (1 - R.exact("l_discount"))).cast("double").alias("sum_net"), F.count("*").alias("n"),
+        F.sum(exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(exact("l_extendedprice")).cast("double").alias("sum_base"),
+        F.sum(exact("l_extendedprice") * (1 - exact("l_discount"))).cast("double").alias("sum_net"), F.count("*").alias("n"),
     )
 
 
@@ -180,7 +181,7 @@ def _(spark, sf):
 
 @_add("agg_salted_hot_key", "SELECT l_returnflag, cast(sum(cast(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS qty FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    return R.salted_sum(table(spark, sf, "lineitem"), "l_returnflag", R.exact("l_quantity"), "qty").select("l_returnflag", F.col("qty").cast("double").alias("qty"))
+    return R.salted_sum(table(spark, sf, "lineitem"), "l_returnflag", exact("l_quantity"), "qty").select("l_returnflag", F.col("qty").cast("double").alias("qty"))
 
 
 @_add("agg_filtered", "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id HAVING count(*) > 3")

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
-
-
-def exact(value: Column | str, kind: str = MONEY) -> Column:
-    """A double as a decimal, so that sums do not depend on their order."""
-    return (F.col(value) if isinstance(value, str) else value).cast(kind)
-
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, tie: str) -> DataFrame:
     """For each left row, the latest right value of the same key strictly before it in (at, tie).
