@@ -8,10 +8,23 @@ import pathlib
 from pyspark.sql import SparkSession
 
 
+ROOT = str(pathlib.Path(__file__).resolve().parent.parent)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster without a common installation, send the package with --py-files.
+    """
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(":")
+    if ROOT not in paths:
+        env["PYTHONPATH"] = ":".join([ROOT, *[p for p in paths if p]])
+
+
 def local_session(cores: int | None = None, app: str = "tidewell", **conf: str) -> SparkSession:
     """A UTC, AQE-enabled local session sized by cores."""
     n = cores or os.cpu_count() or 4
-    root = str(pathlib.Path(__file__).resolve().parent.parent)
     b = (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
@@ -20,7 +33,7 @@ def local_session(cores: int | None = None, app: str = "tidewell", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
-        .config("spark.executorEnv.PYTHONPATH", root)
+        .config("spark.executorEnv.PYTHONPATH", ROOT)
     )
     for k, v in conf.items():
         b = b.config(k, v)

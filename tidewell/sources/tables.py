@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 NAMES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -12,6 +14,7 @@ NAMES = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; the path may be in any store Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
