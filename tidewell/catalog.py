@@ -230,13 +230,22 @@ def _(spark, sf):
     return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"), F.max_by("n_name", "n_nationkey").alias("last_name"), F.bit_xor("n_nationkey").alias("keys"))
 
 
+@_add("agg_spread", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 5) AS vp, round(corr(value, user_id), 6) AS r, mode(user_id % 2) AS parity FROM (SELECT * FROM events WHERE event_id % 3 <> 1) GROUP BY 1")
+def _(spark, sf):
+    d = table(spark, sf, "events").where("event_id % 3 <> 1").groupBy("event_type")
+    return d.agg(F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.var_pop("value"), 5).alias("vp"), F.round(F.corr("value", "user_id"), 6).alias("r"), F.mode(F.col("user_id") % 2).alias("parity"))
+
+
 @_add("agg_approximate")
 def _(spark, sf):
-    """Sketches merged from parts: distinct users, a quantile, and the most frequent types."""
+    """Sketches merged from daily parts: distinct users and quantiles; and the most frequent users."""
     d = table(spark, sf, "events")
-    daily = d.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("sketch"))
-    whole = daily.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
-    return whole.crossJoin(d.agg(F.percentile_approx("value", 0.5, 1000).alias("median")))
+    daily = d.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("users"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+    return daily.agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.max("median").alias("highest_median"))
+
+
+_SPARK["agg_approximate_quantiles"] = lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5D)").alias("median"))
+_SPARK["agg_approximate_top_k"] = lambda spark, sf: table(spark, sf, "events").select("event_type").agg(F.expr("approx_top_k(event_type, 3)").alias("top"))
 
 
 # --- windows -----------------------------------------------------------------------------------
@@ -456,6 +465,17 @@ def _(spark, sf):
     return S.user_totals(spark, f"{sf}/events.parquet")
 
 
+@_add("stream_memory_sink", "SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type")
+def _(spark, sf):
+    return S.to_memory(spark, f"{sf}/events.parquet")
+
+
+@_add("stream_session")
+def _(spark, sf):
+    """Closed sessions only: those still open at the stream's end stay in its state."""
+    return S.user_sessions(spark, f"{sf}/events.parquet")
+
+
 # --- user functions ------------------------------------------------------------------------------------
 
 
@@ -485,6 +505,23 @@ def _(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(size, "user_id long, event_id long, n long")
 
 
+@_add("udf_python", "SELECT n_nationkey, n_name || '!' AS loud FROM nation")
+def _(spark, sf):
+    """Row at a time, through Arrow; for logic no built-in expresses."""
+    loud = F.udf(lambda x: None if x is None else x + "!", "string", useArrow=True)
+    return table(spark, sf, "nation").select("n_nationkey", loud("n_name").alias("loud"))
+
+
+@_add("udf_grouped_arrow", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def _(spark, sf):
+    import pyarrow as pa
+
+    def size(key, rows):
+        return pa.table({"n_regionkey": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([rows.num_rows], pa.int64())})
+
+    return table(spark, sf, "nation").groupBy("n_regionkey").applyInArrow(size, "n_regionkey int, n long")
+
+
 @_add("udf_table_function", "SELECT n_nationkey, i FROM (SELECT n_nationkey, unnest(range(n_regionkey)) AS i FROM nation)")
 def _(spark, sf):
     from pyspark.sql.functions import udtf

@@ -59,6 +59,22 @@ def distinct_events(spark: SparkSession, path: str) -> DataFrame:
     return drain(spark, s.select("event_id", "user_id", "event_type"), "append")
 
 
+def user_sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions that the watermark has closed, append mode."""
+    s = source(spark, path).withWatermark("ts", "10 minutes")
+    w = s.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return drain(spark, w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n"), "append")
+
+
+def to_memory(spark: SparkSession, path: str, least: float = 10) -> DataFrame:
+    """Counts by type kept in the driver's memory sink; for results as small as these."""
+    s = source(spark, path).where(F.col("value") > least).groupBy("event_type").agg(F.count("*").alias("n"))
+    name = f"counts_{uuid.uuid4().hex}"
+    q = s.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 def purchases_after_clicks(spark: SparkSession, path: str, minutes: int = 60) -> DataFrame:
     """Stream-stream join: purchases within an hour after a click of the same user."""
     s = source(spark, path)
