@@ -9,6 +9,7 @@ from .decontamination import op6_benchmark_decontamination
 from .fingerprints import op4_document_fingerprints
 from .jaccard import op2_ngram_jaccard_join
 from .mixing import op8_mixing_sources
+from .oracles import OP2_SQL, OP6_SQL, OP10_SQL
 from .quality import op9_quality_classifier
 from .secrets import op3_secret_scan
 from .substrings import op10_substring_dedup
@@ -33,7 +34,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_chat_formatting": OP1_SQL, "op5_warc": OP5_SQL}
+    out = {
+        "op1_chat_formatting": OP1_SQL,
+        "op2_ngram_jaccard_join": OP2_SQL,
+        "op5_warc": OP5_SQL,
+        "op6_benchmark_decontamination": OP6_SQL,
+        "op10_substring_dedup": OP10_SQL,
+    }
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
