@@ -3,25 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import pathlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(pathlib.Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster without a common installation, send the package with --py-files.
-    """
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(":")
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *[p for p in paths if p]])
+from ..session import ship  # noqa: F401  used by the operators
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,9 +69,12 @@ class Workspace:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps while a long operator goes on."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside the driver, on what a collection has found
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

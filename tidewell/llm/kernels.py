@@ -6,6 +6,7 @@ window's one over its words' hashes; both end in a full-avalanche mix.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -164,6 +165,40 @@ class Words:
         return mix(h ^ mix((b - a).astype(U)))
 
 
+def views(column: pa.Array) -> list[np.ndarray]:
+    """The values of a binary column without nulls, as bytes arrays that share its memory."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return []
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.empty(0, dtype=np.uint8)
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def trim() -> None:
+    """Give memory that a task no longer needs back to the machine; workers are used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A batch function that trims its worker's memory when it ends."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return held
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -180,7 +215,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """(from, to) document ranges of about `most` bytes, a longer document alone."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -190,7 +225,7 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
         at = to
 
 
-def words_of(column: pa.Array, breaks: bytes, lower: bool, most: int = 4 << 20):
+def words_of(column: pa.Array, breaks: bytes, lower: bool, most: int = 1 << 20):
     """Yield (from, to, Words) over document ranges of a column."""
     data, offsets = strings(column)
     for a, b in slices(offsets, most):

@@ -67,7 +67,7 @@ def _run_of(window: int):
                 doc, fp, lo, n = _anchors(w, window)
                 yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ids[a + doc].astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["fp", "id", "lo", "n"])
 
-    return run
+    return K.lean(run)
 
 
 class FingerprintIndex:
@@ -81,7 +81,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         self._made += 1
         name = f"run{self._made}"
-        self.ws.put(rows.repartition("fp").sortWithinPartitions("fp"), name)
+        # rebalanced, not just dealt by hash: a passage in a third of all documents fills several files
+        self.ws.put(rows.hint("rebalance", F.col("fp")).sortWithinPartitions("fp"), name)
         return name
 
     def _read(self, name: str) -> DataFrame:
@@ -94,19 +95,23 @@ class FingerprintIndex:
         """Index (id, text) rows; the anchors of old and new windows that this batch makes suspect."""
         name = self._write(docs.mapInArrow(_run_of(self.window), _RUN))
         new = self._read(name)
-        count = new.groupBy("fp").agg(F.count("*").alias("c"))
+        # Counts and hits are tables, so that each join has two plain sides and a hot anchor can be split.
+        count = self.ws.put(new.groupBy("fp").agg(F.count("*").alias("c")), f"{name}-count")
         old = None
         for r in self.runs():
             old = self._read(r) if old is None else old.union(self._read(r))
+        parts = ["count", "twice"]
         if old is None:
-            twice = count.where("c > 1").select("fp")
+            twice = self.ws.put(count.where("c > 1").select("fp"), f"{name}-twice")
             found = new.join(twice, "fp", "left_semi")
         else:
-            hit = old.join(count.select("fp"), "fp", "left_semi")
-            known = hit.select("fp").distinct().withColumn("known", F.lit(True))
-            twice = count.join(known, "fp", "left").where("c > 1 or known").select("fp")
+            hit = self.ws.put(old.join(count.select("fp"), "fp", "left_semi"), f"{name}-hit")
+            known = hit.select("fp").distinct()
+            twice = self.ws.put(count.where("c > 1").select("fp").union(known).distinct(), f"{name}-twice")
             found = new.join(twice, "fp", "left_semi").union(hit)
+            parts.append("hit")
         found = self.ws.put(found.select("id", "lo", "n"), f"{name}-suspects")
+        self.ws.drop(*(f"{name}-{x}" for x in parts))
         self.levels[0].append(name)
         self._compact()
         return found
@@ -206,7 +211,7 @@ def _suspect_windows(window: int, buckets: int):
         if n:
             yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return run
+    return K.lean(run)
 
 
 def _settle(key, table):
@@ -239,6 +244,7 @@ def _settle(key, table):
         for x, y in zip(out, _runs(i[o], s[o]), strict=True):
             x.append(y)
     a, b, c = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in out)
+    K.trim()
     return pa.table({"id": pa.array(a.astype(np.int64)), "lo": pa.array(b.astype(np.int32)), "n": pa.array(c.astype(np.int32))})
 
 
@@ -298,7 +304,7 @@ def _cut(window: int, carry: list[str], text: bool):
                 [*carry, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if text else [])],
             )
 
-    return run
+    return K.lean(run)
 
 
 def substring_dedup(
