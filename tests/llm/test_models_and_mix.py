@@ -208,19 +208,18 @@ def test_mix_keeps_to_targets(spark):
 
 
 def test_rounding_keeps_expectations(spark):
-    """Over many seeds a document is taken about as often as it is wanted."""
+    """Over many groups a document is taken about as often as it is wanted, and no mass is lost."""
     from tidewell.llm.mixing import _fold
 
-    rows = [(8, 1, 0, 1, 0.3), (5, 2, 0, 2, 0.3), (5, 3, 0, 3, 0.3), (2, 4, 0, 4, 0.3)]
-    d = spark.createDataFrame([(rows,)], "r array<struct<size:long,id:long,copy:long,rid:long,p:double>>")
-    n = 400
-    got = d.select(*[_fold(F.col("r"), 0, seed).alias(f"f{seed}") for seed in range(n)]).first()
+    n = 1500
+    groups = [([(8, 10 * i + 1, 0, 1, 0.3), (5, 10 * i + 2, 0, 2, 0.3), (5, 10 * i + 3, 0, 3, 0.3), (2, 10 * i + 4, 0, 4, 0.3)],) for i in range(n)]
+    d = spark.createDataFrame(groups, "r array<struct<size:long,id:long,copy:long,rid:long,p:double>>")
     mass = defaultdict(float)
-    for f in got:
-        assert abs(sum(x.size * x.p for x in [*f.done, f.rest]) - 6) < 1e-9
+    for (f,) in d.select(_fold(F.col("r"), 0, 11)).collect():
+        assert abs(sum(x.size * x.p for x in [*f.done, f.rest]) - 6) < 1e-9 and all(x.p in (0, 1) for x in f.done)
         for x in [*f.done, f.rest]:
-            mass[x.id] += x.p / n
-    assert all(abs(mass[i] - 0.3) < 0.09 for i in (1, 2, 3, 4)), dict(mass)
+            mass[x.id % 10] += x.p / n
+    assert all(abs(mass[i] - 0.3) < 0.05 for i in (1, 2, 3, 4)), dict(mass)
 
 
 def test_pipeline_stages(spark, tmp_path):

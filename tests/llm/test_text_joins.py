@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,7 +80,7 @@ def test_jaccard_empty_table_repeats_and_null_ids(spark):
 
     assert jaccard_components(spark, frame(spark, [])).count() == 0
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "other words here now"), (1, "A b c d e f")]
-    got = sorted((x.doc_id or -1, x.component_id or -1) for x in jaccard_components(spark, frame(spark, rows).withColumn("n_shingles", __import__("pyspark").sql.functions.lit("clash"))).collect())
+    got = sorted((x.doc_id or -1, x.component_id or -1) for x in jaccard_components(spark, frame(spark, rows).withColumn("n_shingles", F.lit("clash"))).collect())
     assert got == [(-1, -1), (-1, 1), (1, 1), (3, 1), (3, 1)]
 
 

@@ -110,7 +110,7 @@ def _mapped(layout: Layout, v: Column) -> Column:
     if not layout.each:
         return fixed.cast(f"array<{TURN}>")
     array, role, text = layout.each
-    items = F.try_variant_get(v, _path(array), f"array<struct<{role}: string, {text}: string>>") if role not in ("from",) else F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: string>>")
+    items = F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: string>>")
     names = F.create_map(*(F.lit(x) for pair in layout.roles.items() for x in pair)) if layout.roles else None
 
     def canonical(x: Column) -> Column:
