@@ -11,11 +11,19 @@ from pyspark.sql import SparkSession
 ROOT = str(pathlib.Path(__file__).resolve().parent.parent)
 
 
+#: Arrow batches of texts are kept small, so that a task's memory does not follow its partition.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and keep their batches small.
 
-    On a cluster without a common installation, send the package with --py-files.
+    On a cluster without a common installation, send the package with --py-files. Batch
+    sizes that the session has set itself stay as they are.
     """
+    for key, (default, small) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
