@@ -17,11 +17,14 @@ sets' symmetric difference; and sets that link at t differ in at most
   under all seeds gives keys for its empty slices too.
 
 Sets equal in content are one class from the start. Classes that share a key are
-candidates: each key's classes in a fixed order give neighbouring pairs first; those
-that the sketches do not rule out are verified on whole sets, and linked classes merge.
-Then every pair of classes that shares a key and is still in two components is
-verified in the same way. What lies in one component already needs no further proof,
-so a group of n copies costs about n pairs and no link between components is lost.
+candidates. First each member of a key meets the member that shares the most keys overall,
+usually the text the others were made from; pairs that sizes and sketches leave possible are
+verified on whole sets, and linked classes merge. Then each class outside its key's largest
+component meets the class of another component whose sketch is nearest, ROUNDS times.
+At last all pairs of classes that share a key and are still in two components are compared
+by their sketches, inside the tasks, in blocks of at most BLOCK members; only pairs within
+the bound leave a task, to be verified in the same way. What lies in one component already needs no further proof, so a group of n
+copies costs about n verified pairs and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -40,9 +43,14 @@ from .components import components
 
 MISS = 1e-9
 SEEDS = 6
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 500_000
 #: Ids that may be broadcast to select the texts of candidates; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of one key that are compared in one piece.
+BLOCK = 4096
+#: Rows of one component's keys that are compared in one piece, where repeats of a pair are seen.
+TOGETHER = 20_000
+ROUNDS = 1
 _SEED = [K.U(0)] + [K.U(0xD6E8FEB86659FD93 * (i + 1) & K._MASK) for i in range(SEEDS - 1)]
 
 
@@ -110,11 +118,11 @@ class Sets:
         return s[0].view(np.int64), s[1].view(np.int64)
 
     def sketch(self, percent: int) -> list[bytes]:
-        """One-bit-per-hash parity sketches of 2**k bits, 4 or more per difference the set allows."""
+        """One-bit-per-hash parity sketches of 2**k bits, 16 or more per difference the set allows."""
         out = []
         for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True):
             bits = 64
-            while bits < 4 * differ(2 * (b - a), percent):
+            while bits < 16 * differ(2 * (b - a), percent):
                 bits *= 2
             flips = np.bincount((self.hash[a:b] >> K.U(7) & K.U(bits - 1)).astype(np.int64), minlength=bits) & 1
             out.append(np.packbits(flips.astype(bool)).tobytes())
@@ -190,11 +198,11 @@ def _classes(words: int, percent: int):
             n, a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in cols[:3])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(cols[3], pa.binary())], ["id", "n", "s1", "s2", "sketch"])
 
-    return run
+    return K.lean(run)
 
 
 def _keyed(words: int, percent: int, buckets: int):
-    """Keys, dealt into buckets and packed by document: 14 to 22 bytes a document and 6 a key."""
+    """Keys, dealt into buckets and packed by document: 16 bytes a document and 6 a key."""
 
     def packed(ids, sigs, keys):
         low = (keys & K.U(0xFFFFFFFF)).astype(np.int64) % buckets
@@ -207,7 +215,7 @@ def _keyed(words: int, percent: int, buckets: int):
                 new = np.concatenate([[0], np.flatnonzero(ids[a + 1 : b] != ids[a : b - 1]) + 1])
                 rows[0].append(bucket)
                 rows[1].append(ids[a:b][new].tobytes())
-                rows[2].append(sigs[a:b][new].tobytes())
+                rows[2].append(sigs[a:b][new].astype(np.int32).tobytes())
                 rows[3].append(np.diff(np.append(new, b - a)).astype(np.uint32).tobytes())
                 rows[4].append(np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "ids", "sigs", "counts", "keys"])
@@ -236,16 +244,16 @@ def _keyed(words: int, percent: int, buckets: int):
         if n:
             yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return run
+    return K.lean(run)
 
 
 def _shared_keys(key, table):
-    """Members of each key that two classes share, and the member before each in the order of classes."""
+    """Members of each key that two classes share."""
     ids, sigs, keys = [], [], []
     for i, s, c, k in zip(*(table.column(x).to_pylist() for x in ("ids", "sigs", "counts", "keys")), strict=True):
         c = np.frombuffer(c, dtype=np.uint32)
         ids.append(np.repeat(np.frombuffer(i, dtype=np.int64), c))
-        sigs.append(np.repeat(np.frombuffer(s, dtype=np.int64), c))
+        sigs.append(np.repeat(np.frombuffer(s, dtype=np.int32), c))
         wide = np.zeros((int(c.sum()), 8), dtype=np.uint8)
         wide[:, :6] = np.frombuffer(k, dtype=np.uint8).reshape(-1, 6)
         keys.append(wide.view(np.int64).ravel())
@@ -266,39 +274,103 @@ def _shared_keys(key, table):
     inner = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.empty(0, dtype=bool)
     keep = inner.copy()
     keep[:-1] |= inner[1:]
-    prev = np.where(inner, np.concatenate([[0], i[:-1]]) if len(i) else i, 0)
-    i, k, inner, prev = i[keep], k[keep], inner[keep], prev[keep]
+    i, k = i[keep], k[keep]
+    K.trim()
     bucket = int(key[0].as_py())
-    return pa.table({"key": pa.array(K.mix(k.astype(K.U) ^ K.U(bucket * 0x9E3779B97F4A7C15 & K._MASK)).view(np.int64)), "id": pa.array(i), "prev": pa.array(prev, mask=~inner)})
+    return pa.table({"key": pa.array(K.mix(k.astype(K.U) ^ K.U(bucket * 0x9E3779B97F4A7C15 & K._MASK)).view(np.int64)), "id": pa.array(i)})
 
 
 def _packed_sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = []
-            for _, _, w in K.words_of(batch.column(1), K.SPACES, True):
+            for x, y, w in K.words_of(batch.column(1), K.SPACES, True):
                 s = Sets(w, words)
-                sets += [s.hash[a:b].tobytes() for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                sets = [s.hash[a:b].tobytes() for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return K.lean(run)
 
-    return run
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as `size` bytes: bit i is hash mod the number of bits, so halves fold by XOR."""
+    x = np.frombuffer(sketch, dtype=np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
 
 
 def _near(percent: int):
-    """Pairs whose sketches, folded to the shorter one, do not rule a link out."""
+    """Pairs whose sketches do not rule a link out."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-                if len(x) > len(y):
-                    x, y = y, x
-                # bit i of a sketch of 2**k bits is hash mod 2**k, so longer ones fold by XOR
-                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-                keep.append(int(np.bitwise_count(x ^ y).sum()) <= differ(na + nb, percent))
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                keep.append(apart <= differ(na + nb, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return K.lean(run)
+
+
+def _apart(percent: int, nearest: bool):
+    """Pairs of one key in two components whose sizes and sketches do not rule a link out.
+
+    nearest: of these only the nearest one of each member outside the key's largest component.
+    """
+
+    def closest(rep, label, n, sketches):
+        size = min(map(len, sketches))
+        x = np.stack([_fold(z, size) for z in sketches]).view(K.U)
+        names, of = np.unique(label, return_inverse=True)
+        few = np.flatnonzero(of != np.bincount(of).argmax())
+        step = max(1, (1 << 21) // max(1, x.shape[1] * len(x)))
+        for at in range(0, len(few), step):
+            p = few[at : at + step]
+            far = np.bitwise_count(x[p][:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int64)
+            total = n[p][:, None] + n
+            ok = (label[p][:, None] != label) & (100 * np.minimum(n[p][:, None], n) >= percent * np.maximum(n[p][:, None], n))
+            ok &= far * (100 + percent) <= total * (100 - percent)
+            score = np.where(ok, far / total, 9.0)
+            v = score.argmin(axis=1)
+            good = score[np.arange(len(p)), v] < 9
+            yield rep[p[good]], rep[v[good]]
+
+    def compare(rep, label, n, side, sketches, low, high):
+        size = min(map(len, sketches))
+        x = np.stack([_fold(z, size) for z in sketches]).view(K.U)
+        first, second = (np.arange(len(rep)), np.arange(len(rep))) if low == high else (np.flatnonzero(side == low), np.flatnonzero(side == high))
+        step = max(1, (1 << 21) // max(1, x.shape[1] * len(second)))
+        for at in range(0, len(first), step):
+            p = first[at : at + step]
+            ok = (label[p][:, None] != label[second]) & (100 * np.minimum(n[p][:, None], n[second]) >= percent * np.maximum(n[p][:, None], n[second]))
+            if low == high:
+                ok &= p[:, None] < second
+            i, j = np.nonzero(ok)
+            for part in range(0, len(i), 1 << 15):
+                u, v = p[i[part : part + (1 << 15)]], second[j[part : part + (1 << 15)]]
+                far = np.bitwise_count(x[u] ^ x[v]).sum(axis=1, dtype=np.int64)
+                near = far * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
+                yield rep[u[near]], rep[v[near]]
+
+    def run(key, table):
+        a, b = [], []
+        unit = table.column("unit").to_numpy()
+        o = np.argsort(unit, kind="stable")
+        rep, label, n, side, low, high = (table.column(c).to_numpy()[o] for c in ("rep", "label", "n", "side", "low", "high"))
+        sketch, unit = table.column("sketch").combine_chunks(), unit[o]
+        cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]])).tolist()
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            if y - x > 1:
+                part = sketch.take(pa.array(o[x:y])).to_pylist()
+                found = closest(rep[x:y], label[x:y], n[x:y], part) if nearest else compare(rep[x:y], label[x:y], n[x:y], side[x:y], part, low[x], high[x])
+                for p, q in found:
+                    a.append(np.minimum(p, q))
+                    b.append(np.maximum(p, q))
+        K.trim()
+        none = np.empty(0, dtype=np.int64)
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.stack([none, none])
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
     return run
 
 
@@ -306,15 +378,14 @@ def _linked(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=K.U), np.frombuffer(y, dtype=K.U)
-                z = np.concatenate([x, y])
+            for x, y in zip(K.views(batch.column("set_a")), K.views(batch.column("set_b")), strict=True):
+                z = np.concatenate([x, y]).view(K.U)
                 z.sort(kind="stable")
                 both = int((z[1:] == z[:-1]).sum())
                 keep.append(100 * both >= percent * (len(z) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return K.lean(run)
 
 
 def jaccard_components(
@@ -341,51 +412,62 @@ def jaccard_components(
     reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     classes = ws.put(full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep"), "classes")
 
-    buckets = min(1 << 20, 4 * partitions(spark))
+    buckets = min(1 << 20, 2 * partitions(spark))
     keyed = slim.where("id is not null").mapInArrow(_keyed(words, percent, buckets), "bucket int, ids binary, sigs binary, counts binary, keys binary")
-    shared = ws.put(keyed.groupBy("bucket").applyInArrow(_shared_keys, "key long, id long, prev long"), "shared")
+    shared = ws.put(keyed.groupBy("bucket").applyInArrow(_shared_keys, "key long, id long"), "shared")
     release(spark)
-
-    def candidates(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs of classes, once each, that sizes and sketches leave possible."""
-        look = each.join(classes.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
-        wide = (
-            pairs.join(look.toDF("a", "na", "xa"), "a")
-            .join(look.toDF("b", "nb", "xb"), "b")
-            .where(limit)
-        )
-        return ws.put(wide.mapInArrow(_near(percent), "a long, b long"), name)
+    by_rep = classes.select("id", "rep").distinct()
+    member = ws.put(shared.join(by_rep, "id").select("key", "rep"), "member")
+    ws.drop("shared")
+    look = ws.put(each.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "look")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = ws.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        n = ids.count()
-        some = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+        some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         sets = slim.join(some, "id", "left_semi").mapInArrow(_packed_sets(words), "id long, set binary")
         wide = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
         out = ws.put(wide.mapInArrow(_linked(percent), "a long, b long"), name)
         release(spark)
         return out
 
-    by_rep = classes.select("id", "rep").distinct()
-
-    def between(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents as pairs of their classes' representatives."""
-        x = pairs.join(by_rep.toDF("a", "ra"), "a").join(by_rep.toDF("b", "rb"), "b")
-        return x.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    chain = shared.where("prev is not null").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).distinct()
-    tried = candidates(between(chain), "tried")
+    # Each member of a key and the one that shares most keys.
+    shares = member.groupBy("rep").agg(F.count("*").alias("keys"))
+    hubs = member.join(shares, "rep").groupBy("key").agg(F.max(F.struct("keys", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    star = member.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    wide = star.join(look.toDF("a", "na", "xa"), "a").join(look.toDF("b", "nb", "xb"), "b").where(limit)
+    tried = ws.put(wide.mapInArrow(_near(percent), "a long, b long"), "tried")
     links = verified(tried, "links")
     label = ws.put(components(spark, ws, links), "label")
 
-    # What shares a key and is still apart: every such pair, by the same tests.
-    member = shared.join(by_rep, "id").select("key", "rep").distinct().join(label.toDF("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    member = ws.put(member.join(mixed, "key", "left_semi"), "member")
-    x, y = member.toDF("key", "a", "la"), member.toDF("key", "b", "lb")
-    rest = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(candidates(rest, "rest"), "more-links")
-    label = ws.put(components(spark, Workspace(spark, "jaccard"), links.union(more)), "final")
+    def still(member: DataFrame, label: DataFrame, name: str) -> DataFrame:
+        """Members of the keys that lie in two components or more, with their labels."""
+        known = member.join(label.toDF("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y").drop("y")
+        mixed = ws.put(mixed.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), f"{name}-keys")
+        # keys of one component lie together, in as many places as their rows need
+        places = mixed.groupBy("x").agg(F.ceil(F.sum(F.col("c") * F.col("blocks")) / TOGETHER).alias("places"))
+        mixed = mixed.join(places, "x").select("key", "blocks", F.xxhash64("x", F.pmod(F.xxhash64("key"), "places")).alias("place"))
+        return ws.put(known.join(mixed, "key"), name)
+
+    def apart(known: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs that share a key, lie in two components and are near by their sketches."""
+        dealt = (
+            known.withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("key", "rep", "label", "place", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+            .withColumn("unit", F.xxhash64("key", "low", "high"))
+        )
+        dealt = dealt.join(look.select(F.col("id").alias("rep"), "n", "sketch"), "rep").withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
+        return dealt.groupBy("bucket").applyInArrow(_apart(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+
+    for i in range(ROUNDS + 1):
+        narrow = still(member if i == 0 else narrow.select("key", "rep"), label, f"narrow{i}")
+        rest = ws.put(apart(narrow, i < ROUNDS), f"rest{i}")
+        more = verified(rest, f"links{i}")
+        tried, links = tried.union(rest), links.union(more)
+        if more.limit(1).count():
+            label = ws.put(components(spark, Workspace(spark, "jaccard"), links), f"label{i}")
+    ws.drop("member", "look", "tried", *(f"{x}{i}" for x in ("rest", "narrow") for i in range(ROUNDS + 1)), *(f"narrow{i}-keys" for i in range(ROUNDS + 1)))
 
     final = each.join(reps, ["s1", "s2", "n"], "left").join(label.toDF("rep", "label"), "rep", "left")
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
