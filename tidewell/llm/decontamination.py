@@ -114,7 +114,7 @@ def _count(shared, text_col: str):
         for keys, _, n in total.values():
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 0].view(np.int64)), pa.array(n[n > 0])], ["gram", "n"])
 
-    return run
+    return K.lean(run)
 
 
 def _match(index: Index, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _find(shared, text_col: str, carry: list[str]):
             cols += [pa.array(n.astype(np.int64)), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, [*carry, "n_words", "spans", "item_ids"])
 
-    return run
+    return K.lean(run)
 
 
 def _merge(spans):

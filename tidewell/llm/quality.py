@@ -160,7 +160,7 @@ def _spread(text_col: int, most: int):
                 out.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["id", "raw", "y"])
 
-    return run
+    return K.lean(run)
 
 
 def train(
@@ -204,7 +204,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, net: Network, text_col:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(score)], [*carry, "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "score double"])
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(K.lean(run), schema)
 
 
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
