@@ -314,6 +314,11 @@ def _(spark, sf):
 _same("sort_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 for _op in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"):
     _same(f"set_{_op.lower().replace(' ', '_')}", "customer supplier", f"SELECT c_nationkey AS k FROM customer WHERE c_custkey < 90 {_op} SELECT s_nationkey AS k FROM supplier WHERE s_suppkey > 2")
+    # Over whole tables, by columns in which customers and suppliers differ by nature.
+    _same(
+        f"set_whole_{_op.lower().replace(' ', '_')}", "customer supplier",
+        f"SELECT c_nationkey AS k, cast(floor(c_acctbal / 100) AS BIGINT) AS hundreds FROM customer {_op} SELECT s_nationkey AS k, cast(floor(s_acctbal / 100) AS BIGINT) AS hundreds FROM supplier",
+    )
 _same("distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 _same("values_and_case", "nation", "SELECT v.k, CASE v.k WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS word FROM (VALUES (1), (2), (3)) AS v(k)")
 
