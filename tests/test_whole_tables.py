@@ -1,6 +1,7 @@
 """Queries over whole tables, against counts made in Python."""
 
 import math
+import statistics
 from collections import Counter
 
 import pytest
@@ -32,3 +33,27 @@ def pairs(spark):
 def test_set_operations_hold_every_row(spark, pairs, name, want):
     got = Counter((x.k, x.hundreds) for x in catalog.queries()[f"set_whole_{name}"](spark, SF).collect())
     assert got and got == want(*pairs)
+
+
+@pytest.mark.parametrize("kind", ["left", "right", "full"])
+def test_outer_joins_hold_every_row(spark, kind):
+    dates = {x.o_orderkey: x.o_orderdate for x in table(spark, SF, "orders").collect()}
+    lines = [(x.l_orderkey, x.l_partkey, x.l_suppkey, x.l_linenumber, x.l_shipdate) for x in table(spark, SF, "lineitem").collect()]
+    want = Counter((x[0], *x[:4]) for x in lines if x[4] > dates[x[0]])
+    met = {x[0] for x in want}
+    alone = [Counter((o, None, None, None, None) for o in dates if o not in met), Counter((None, *x[:4]) for x in lines if x[4] <= dates[x[0]])]
+    assert all(alone)
+    want = sum(alone[:1] if kind == "left" else alone[1:] if kind == "right" else alone, want)
+    assert Counter(map(tuple, catalog.queries()[f"join_whole_{kind}_outer"](spark, SF).collect())) == want
+
+
+def test_spread_is_of_all_events(spark):
+    got = {x.event_type: x for x in catalog.queries()["agg_whole_spread"](spark, SF).collect()}
+    events = table(spark, SF, "events").collect()
+    assert set(got) == {x.event_type for x in events}
+    for kind, x in got.items():
+        value, user = [e.value for e in events if e.event_type == kind], [e.user_id for e in events if e.event_type == kind]
+        assert x.sd == pytest.approx(statistics.stdev(value), abs=2e-6) and x.vp == pytest.approx(statistics.pvariance(value), abs=2e-5)
+        assert x.r == pytest.approx(statistics.correlation(value, user), abs=2e-6)
+        parity = Counter(u % 2 for u in user)
+        assert x.parity == min(k for k, n in parity.items() if n == max(parity.values()))

@@ -108,6 +108,18 @@ for _kind in ("left", "right", "full"):
     )
 
 
+for _kind in ("left", "right", "full"):
+
+    def _outer_whole(spark, sf, kind=_kind):
+        """Whole tables; lines shipped before their order, and orders without later lines, have no match by nature."""
+        o, li = table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+        on = (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate"))
+        return o.join(li, on, kind).select("o_orderkey", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+    _SPARK[f"join_whole_{_kind}_outer"] = _outer_whole
+    _SQL[f"join_whole_{_kind}_outer"] = f"SELECT o_orderkey, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM orders {_kind.upper()} JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate"
+
+
 @_add("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
@@ -236,6 +248,13 @@ def _(spark, sf):
     return d.agg(F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.var_pop("value"), 5).alias("vp"), F.round(F.corr("value", "user_id"), 6).alias("r"), F.mode(F.col("user_id") % 2).alias("parity"))
 
 
+@_add("agg_whole_spread", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 5) AS vp, round(corr(value, user_id), 6) AS r, min(user_id % 2) FILTER (n_parity = top) AS parity FROM (SELECT *, max(n_parity) OVER (PARTITION BY event_type) AS top FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id % 2) AS n_parity FROM events)) GROUP BY 1")
+def _(spark, sf):
+    """Over all events; of parities that are as frequent, the lower one."""
+    d = table(spark, sf, "events").groupBy("event_type")
+    return d.agg(F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.var_pop("value"), 5).alias("vp"), F.round(F.corr("value", "user_id"), 6).alias("r"), F.mode(F.col("user_id") % 2, True).alias("parity"))
+
+
 @_add("agg_approximate")
 def _(spark, sf):
     """Sketches merged from daily parts: distinct users and quantiles; and the most frequent users."""
