@@ -91,6 +91,25 @@ def test_warc_traps(spark, block):
     assert {i: by[i].refers_to for i in by if by[i].type == "revisit"} == {1: "<urn:x-page:2>"}
 
 
+@pytest.mark.parametrize("block", ["900", "100m"])
+def test_warc_long_urls(spark, block):
+    from tidewell.llm._shared import Workspace
+    from tidewell.llm.warc import read_warc, write_warc
+
+    long = "data:text/plain," + "é1" * 50_000
+    rows = [(1, "u", "a"), (2, long, "b" * 70_000), (3, "v", INNER * 3), (4, long + "4", INNER + "WARC/1.1\r\nzz"), (5, "w", "WARC/1.1\r\n" + "c" * 200_000), (6, "x", "d")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        ws = Workspace(spark, "test")
+        write_warc(spark, d, ws.path + "/a", ws=ws)
+        got = read_warc(spark, ws.path + "/a", payload=True, ws=ws).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((int(x.record_id[12:-1]), x.uri, bytes(x.payload).decode()) for x in got) == rows
+
+
 def test_warc_empty_and_null_ids(spark, tmp_path):
     from tidewell.llm.warc import op5_warc
 

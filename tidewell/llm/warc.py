@@ -89,8 +89,8 @@ _FIELD = re.compile(rb"(?:^|\r\n)([A-Za-z-]+): ?([^\r\n]*)")
 
 
 def _header(raw: bytes) -> tuple[dict[str, str], int, int] | None:
-    """(fields, header bytes with the empty line, content length) if raw starts like a record."""
-    stop = raw.find(b"\r\n\r\n", 0, 1 << 16)
+    """(fields, header bytes with the empty line, content length) if raw starts like a record; urls make headers of any length."""
+    stop = raw.find(b"\r\n\r\n")
     if stop < 0:
         return None
     fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(raw[:stop])}
