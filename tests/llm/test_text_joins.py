@@ -50,6 +50,26 @@ def family(r, base, copies, edits):
         yield " ".join(w)
 
 
+def test_classes_that_share_half_a_digest_keep_their_keys(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.llm import jaccard as J
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words, x]) for x in ("a", "b", "b")]
+    digest = J.Sets.digest
+    same_low = np.array([7, 7 + (1 << 40), 7 + (1 << 40)], dtype=np.int64)
+    monkeypatch.setattr(J.Sets, "digest", lambda self: (same_low, digest(self)[1]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["id", "text"])
+    keyed = pa.Table.from_batches(list(J._keyed(5, 75, 1)(iter([batch]))))
+    shared = J._shared_keys([pa.scalar(0)], keyed)
+    by_key = {}
+    for k, i in zip(shared["key"].to_pylist(), shared["id"].to_pylist(), strict=True):
+        by_key.setdefault(k, []).append(i)
+    assert by_key and all(sorted(x) == [1, 2] for x in by_key.values())
+
+
 def test_jaccard_against_all_pairs(spark):
     from tidewell.llm.jaccard import jaccard_components
 

@@ -202,7 +202,7 @@ def _classes(words: int, percent: int):
 
 
 def _keyed(words: int, percent: int, buckets: int):
-    """Keys, dealt into buckets and packed by document: 16 bytes a document and 6 a key."""
+    """Keys, dealt into buckets and packed by document: 20 bytes a document and 6 a key."""
 
     def packed(ids, sigs, keys):
         low = (keys & K.U(0xFFFFFFFF)).astype(np.int64) % buckets
@@ -215,7 +215,7 @@ def _keyed(words: int, percent: int, buckets: int):
                 new = np.concatenate([[0], np.flatnonzero(ids[a + 1 : b] != ids[a : b - 1]) + 1])
                 rows[0].append(bucket)
                 rows[1].append(ids[a:b][new].tobytes())
-                rows[2].append(sigs[a:b][new].astype(np.int32).tobytes())
+                rows[2].append(sigs[a:b][new].tobytes())
                 rows[3].append(np.diff(np.append(new, b - a)).astype(np.uint32).tobytes())
                 rows[4].append(np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "ids", "sigs", "counts", "keys"])
@@ -249,15 +249,18 @@ def _keyed(words: int, percent: int, buckets: int):
 
 def _shared_keys(key, table):
     """Members of each key that two classes share."""
-    ids, sigs, keys = [], [], []
+    ids, sigs, counts, keys = [], [], [], []
     for i, s, c, k in zip(*(table.column(x).to_pylist() for x in ("ids", "sigs", "counts", "keys")), strict=True):
         c = np.frombuffer(c, dtype=np.uint32)
         ids.append(np.repeat(np.frombuffer(i, dtype=np.int64), c))
-        sigs.append(np.repeat(np.frombuffer(s, dtype=np.int32), c))
+        sigs.append(np.frombuffer(s, dtype=np.int64))
+        counts.append(c)
         wide = np.zeros((int(c.sum()), 8), dtype=np.uint8)
         wide[:, :6] = np.frombuffer(k, dtype=np.uint8).reshape(-1, 6)
         keys.append(wide.view(np.int64).ravel())
-    i, s, k = np.concatenate(ids), np.concatenate(sigs), np.concatenate(keys)
+    # Whole digests become numbers in this table, of half their width, before they are repeated for each key.
+    s = np.repeat(np.unique(np.concatenate(sigs), return_inverse=True)[1].astype(np.int32), np.concatenate(counts))
+    i, k = np.concatenate(ids), np.concatenate(keys)
     o = np.argsort(k)
     k = k[o]
     twin = np.zeros(len(k), dtype=bool)
