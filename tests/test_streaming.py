@@ -20,6 +20,12 @@ def test_sessions_close_by_watermark(spark, tmp_path):
     assert got <= {(1, 0, 2), (1, 70, 1), (2, 0, 1)}  # the last user's session is still open
 
 
+def test_open_sessions_are_given_too(spark, tmp_path):
+    path = events(spark, tmp_path / "e", [[(1, 0, 1), (2, 20, 1), (3, 70, 1), (4, 0, 2)], [(5, 1000, 9)]])
+    got = {(x.user_id, (x.session_start - BASE).seconds // 60, x.n) for x in S.all_sessions(spark, path).collect()}
+    assert got == {(1, 0, 2), (1, 70, 1), (2, 0, 1), (9, 1000, 1)}
+
+
 def test_repeats_are_dropped_within_the_watermark(spark, tmp_path):
     path = events(spark, tmp_path / "e", [[(1, 0, 1), (1, 5, 1), (2, 6, 1)]])
     assert sorted(x.event_id for x in S.distinct_events(spark, path).collect()) == [1, 2]

@@ -494,10 +494,9 @@ def _(spark, sf):
     return S.to_memory(spark, f"{sf}/events.parquet")
 
 
-@_add("stream_session")
+@_add("stream_session", _SQL["window_session"])
 def _(spark, sf):
-    """Closed sessions only: those still open at the stream's end stay in its state."""
-    return S.user_sessions(spark, f"{sf}/events.parquet")
+    return S.all_sessions(spark, f"{sf}/events.parquet")
 
 
 # --- user functions ------------------------------------------------------------------------------------

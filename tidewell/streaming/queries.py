@@ -66,6 +66,13 @@ def user_sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> Da
     return drain(spark, w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n"), "append")
 
 
+def all_sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions with those still open at the stream's end, complete mode."""
+    s = source(spark, path).withWatermark("ts", "10 minutes")
+    w = s.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return drain(spark, w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n"), "complete")
+
+
 def to_memory(spark: SparkSession, path: str, least: float = 10) -> DataFrame:
     """Counts by type kept in the driver's memory sink; for results as small as these."""
     s = source(spark, path).where(F.col("value") > least).groupBy("event_type").agg(F.count("*").alias("n"))
