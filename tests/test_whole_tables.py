@@ -57,3 +57,10 @@ def test_spread_is_of_all_events(spark):
         assert x.r == pytest.approx(statistics.correlation(value, user), abs=2e-6)
         parity = Counter(u % 2 for u in user)
         assert x.parity == min(k for k, n in parity.items() if n == max(parity.values()))
+
+
+def test_repeated_lines_leave_the_documents(spark):
+    from tidewell.operators.text import without_repeated_lines
+
+    d = spark.createDataFrame([(2, "b\na\n\nc"), (1, "a\n\nb\na\n"), (3, "a\nb"), (4, None), (5, "")], "doc_id long, text string")
+    assert {x.doc_id: x.kept for x in without_repeated_lines(d).collect()} == {1: "a\n\nb\n", 2: "\nc", 3: "", 4: None, 5: ""}

@@ -435,6 +435,17 @@ def _(spark, sf):
     return X.line_counts(table(spark, sf, "documents"))
 
 
+@_add(
+    "text_line_dedup_documents",
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS rn FROM l), "
+    "k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM r WHERE rn = 1 OR line = '' GROUP BY doc_id) "
+    "SELECT doc_id, md5(coalesce(kept, '')) AS digest, length(coalesce(kept, '')) AS n_chars FROM documents LEFT JOIN k USING (doc_id)",
+)
+def _(spark, sf):
+    return X.without_repeated_lines(table(spark, sf, "documents")).select("doc_id", F.md5("kept").alias("digest"), F.length("kept").cast("long").alias("n_chars"))
+
+
 @_add("text_mask_personal", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '<IP>', 'g')) AS digest FROM documents")
 def _(spark, sf):
     return X.mask_personal(table(spark, sf, "documents")).select("doc_id", F.md5("masked").alias("digest"))

@@ -21,6 +21,22 @@ def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document with only those lines that no line before equals, in order of ids and of lines.
+
+    Ids are unique; lines of one MD5 are equal. Empty lines stay; null texts stay null; a text of
+    repeats only becomes empty. Lines travel as digests, texts once.
+    """
+    split = F.split(text_col, "\n", -1)
+    lines = docs.select(F.col(id_col), F.posexplode(split).alias("i", "line"))
+    lines = lines.select(id_col, "i", F.when(F.col("line") != "", F.unhex(F.md5("line"))).alias("line"))
+    first = lines.where("line is not null").groupBy("line").agg(F.min(F.struct(id_col, "i")).alias("at")).select(F.col(f"at.{id_col}"), "at.i")
+    stay = first.union(lines.where("line is null").select(id_col, "i")).groupBy(id_col).agg(F.sort_array(F.collect_list("i")).alias("stay"))
+    # The outer transform binds the split text once for all lines.
+    kept = F.transform(F.array(split), lambda x: F.array_join(F.transform(F.col("stay"), lambda i: F.get(x, i)), "\n"))[0]
+    return docs.join(stay, id_col, "left").withColumn("kept", F.when(F.col(text_col).isNotNull(), F.coalesce(kept, F.lit("")))).drop("stay")
+
+
 # Patterns of personal data.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
