@@ -85,6 +85,63 @@ def test_jaccard_against_all_pairs(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("n", [5, 12, 40, 80, 153, 154, 200, 300, 1200, 5000, 15502])
+def test_pairs_on_the_very_limit_share_a_key(n):
+    """Two sets as far apart as a link allows agree in a slice that both fill, in every band and for either size."""
+    import numpy as np
+
+    from tidewell.llm import jaccard as J
+
+    r = np.random.default_rng(n)
+    for _ in range(400 if n < 1000 else 40):
+        m = r.integers(-(-n * 3 // 4), n, endpoint=True)
+        both = -(-75 * (n + m) // 175)  # least intersection of sets of n and m shingles that link
+        if both > m:
+            continue
+        h = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, n + m - both).astype(np.uint64)
+        s = object.__new__(J.Sets)
+        s.n = np.array([n, m])
+        s.at = np.array([0, n, n + m])
+        s.hash = np.concatenate([np.sort(h[:n]), np.sort(h[n - both :])])
+        d, k = J.all_keys(s, np.array([0, 1]), 75)
+        assert set(k[d == 0].tolist()) & set(k[d == 1].tolist())
+
+
+def test_jaccard_at_the_limit_in_wide_bands(spark):
+    from tidewell.llm.jaccard import jaccard_components
+
+    r = random.Random(12)
+    texts = []
+    for n in (200, 400, 900, 2000):
+        for _ in range(12):
+            w = [f"w{r.randrange(10**7)}" for _ in range(n)]
+            edge = round(n / 7)  # about as many words replaced at the end as a link allows
+            for more in (-1, 0, 1, 2):
+                texts.append(" ".join(w))
+                texts.append(" ".join([*w[: n - edge - more], *(f"x{r.randrange(10**7)}" for _ in range(edge + more))]))
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(spark, frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_hot_keys_in_blocks(spark, monkeypatch):
+    """A slice that a third of all sets share, more members than a block, and links among them."""
+    from tidewell.llm import jaccard as J
+
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "TOGETHER", 64)
+    r = random.Random(13)
+    common = " ".join(f"c{i}" for i in range(70))
+    texts = [common + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(20, 45))) for _ in range(150)]
+    texts += [t.rsplit(" ", 2)[0] + " z z" for t in texts[:40]]
+    texts += [" ".join(f"y{r.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(spark, frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_large_family_without_its_base(spark):
     from tidewell.llm.jaccard import jaccard_components
 

@@ -9,12 +9,12 @@ sets' symmetric difference; and sets that link at t differ in at most
   next one. In a band the hash space is cut into slices; a slice's key is the XOR of
   the hashes in it (a slice of an arbitrarily long parity sketch, folded to 64 bits).
   Two sets that differ in d shingles agree in every slice no difference falls into.
-* Small bands have d + 2 slices, where that is certain. In large bands fewer, wider
-  slices do: their number is the least for which the chance that a pair on the very
-  limit agrees in no filled slice is below MISS, about that of a hash collision.
-* An empty slice says nothing and gives no key. A small set with so many empty slices
-  that the certainty is gone is cut again by another seed; only one that fails
-  under all seeds gives keys for its empty slices too.
+* There are more slices than differences, in every band, so that some slice surely agrees.
+* An empty slice says nothing and gives no key, so there are as many slices more as sets of the
+  band usually leave empty. A set with so many empty slices that the certainty is gone is cut
+  again by another seed; only one that fails under all seeds gives keys for its empty
+  slices too. Of two sets that link, the first that fails no more makes the other's key certain,
+  as both are cut by every seed up to there. No link depends on chance, but for hash collisions.
 
 Sets equal in content are one class from the start. Classes that share a key are
 candidates. First each member of a key meets the member that shares the most keys overall,
@@ -30,7 +30,6 @@ copies costs about n verified pairs and no link between components is lost.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,6 @@ from . import kernels as K
 from ._shared import Workspace, partitions, release, ship
 from .components import components
 
-MISS = 1e-9
 SEEDS = 6
 FLUSH_KEYS = 500_000
 #: Ids that may be broadcast to select the texts of candidates; beyond it they are joined by a shuffle.
@@ -61,27 +59,42 @@ def differ(total: int, percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first size, differences d, slices) of each band up to the size `largest` and one more.
+    """(first size, last size, slices) of each band up to the size `largest` and one more.
 
-    A set of fewer than `100 / (100 - percent) - 1` shingles links only with its equals.
+    A set of fewer than `100 / (100 - percent) - 1` shingles links only with its equals. A band
+    has so many slices that most of its sets leave fewer empty than spare() allows; the others are
+    cut again, so the number is a matter of cost alone.
     """
     starts = [max(1, -(-percent // (100 - percent)))]
     while starts[-1] <= largest:
         starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // percent)))
     starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // percent)))
-    most, cut = [], []
-    for a, b in zip(starts, [*starts[1:], -(-starts[-1] * 100 // percent)], strict=True):
-        d = differ(2 * (b - 1), percent)
-        p = 2
+    lasts = [b - 1 for b in [*starts[1:], -(-starts[-1] * 100 // percent)]]
+    cut = []
+    for a, last in zip(starts, lasts, strict=True):
+        d = differ(2 * last, percent)
+        p = d + 2
+        if d >= 20:
+            some = np.unique(np.linspace(-(-a * percent // 100), last, 9).astype(np.int64))
 
-        def missed(p: int, d: int = d) -> float:
-            return p * log(1 - exp(-d / p) * (1 - exp(-3 * d / p))) if d else 0.0
+            def enough(p: int, some=some, last=last) -> bool:
+                empty = p * (1 - 1 / p) ** some
+                return bool((spare(some, last, p, percent) >= empty + 2 * np.sqrt(empty)).all())
 
-        while p < d + 2 and (d < 20 or missed(p) > log(MISS)):
-            p += 1 if p < 64 else p // 64
-        most.append(d)
-        cut.append(min(p, d + 2))
-    return np.array(starts), np.array(most), np.array(cut)
+            while not enough(p):
+                p += max(1, p // 128)
+        cut.append(p)
+    return np.array(starts), np.array(lasts), np.array(cut)
+
+
+def spare(size: np.ndarray, last: np.ndarray | int, cut: np.ndarray | int, percent: int) -> np.ndarray:
+    """Empty slices that a set may have and still surely share a filled one with whatever links to it.
+
+    A partner has at most 100 / percent times its size and the band's last size; differences
+    touch at most as many slices as there are, and of the rest one more than this is left.
+    """
+    partner = np.minimum(last, size * 100 // percent)
+    return cut - (size + partner) * (100 - percent) // (100 + percent) - 1
 
 
 class Sets:
@@ -158,7 +171,7 @@ class Sets:
 
 def all_keys(s: Sets, docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) pairs of the given documents in their own band and the next."""
-    starts, most, cut = bands(percent, 1 << max(10, int(s.n.max(initial=1)).bit_length()))
+    starts, lasts, cut = bands(percent, 1 << max(10, int(s.n.max(initial=1)).bit_length()))
     docs = docs[s.n[docs] >= starts[0]]
     own = np.searchsorted(starts, s.n[docs], side="right") - 1
     out_d, out_k = [], []
@@ -170,9 +183,7 @@ def all_keys(s: Sets, docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.nd
             if not len(left):
                 break
             last = seed == SEEDS - 1
-            # wide bands don't count on certainty, so no number of empty slices is too many there
-            spare = np.where(cut[at] == most[at] + 2, 1, 1 << 30)
-            d, k, bad = s.keys(left, at, cut[at], spare, last, seed)
+            d, k, bad = s.keys(left, at, cut[at], spare(s.n[left], lasts[at], cut[at], percent), last, seed)
             out_d.append(d)
             out_k.append(k)
             keep = np.isin(left, bad)
