@@ -20,7 +20,8 @@ Sets equal in content are one class from the start. Classes that share a key are
 candidates. First each member of a key meets the member that shares the most keys overall,
 usually the text the others were made from; pairs that sizes and sketches leave possible are
 verified on whole sets, and linked classes merge. Then each class outside its key's largest
-component meets the class of another component whose sketch is nearest, ROUNDS times.
+component meets the class of another component whose sketch is nearest (in keys of few members:
+all that are near), ROUNDS times.
 At last all pairs of classes that share a key and are still in two components are compared
 by their sketches, inside the tasks, in blocks of at most BLOCK members; only pairs within
 the bound leave a task, to be verified in the same way. What lies in one component already needs no further proof, so a group of n
@@ -44,10 +45,12 @@ SEEDS = 6
 FLUSH_KEYS = 500_000
 #: Ids that may be broadcast to select the texts of candidates; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of one key that are compared in one piece.
-BLOCK = 4096
-#: Rows of one component's keys that are compared in one piece, where repeats of a pair are seen.
-TOGETHER = 20_000
+#: Members of one key that are compared in one piece with as many others.
+BLOCK = 512
+#: Rows of one component's keys that are compared in one place, where repeats of a pair are seen.
+TOGETHER = 1000
+#: Keys that one bucket takes; the number of buckets follows the shingles counted before.
+BUCKET_KEYS = 1_000_000
 ROUNDS = 1
 _SEED = [K.U(0)] + [K.U(0xD6E8FEB86659FD93 * (i + 1) & K._MASK) for i in range(SEEDS - 1)]
 
@@ -326,64 +329,136 @@ def _near(percent: int):
     return K.lean(run)
 
 
+class Sketches:
+    """The sketches of some sets, by length, and how far pairs of them are apart."""
+
+    #: A sketch folded to this part of its bits rules most pairs out.
+    COARSE = 4
+
+    def __init__(self, sketches: pa.Array, n: np.ndarray, percent: int):
+        self.n, self.percent = n, percent
+        rows = K.views(sketches)
+        self.size = np.array([len(x) for x in rows], dtype=np.int64)
+        self.at = np.empty(len(rows), dtype=np.int64)
+        self.of = {}
+        for size in np.unique(self.size).tolist():
+            which = np.flatnonzero(self.size == size)
+            self.at[which] = np.arange(len(which))
+            self.of[size] = np.stack([rows[i] for i in which.tolist()]).view(K.U)
+
+    def _folded(self, size: int, which: np.ndarray, to: int) -> np.ndarray:
+        """Bit i is hash mod the number of bits, so halves fold by XOR."""
+        x = self.of[size][self.at[which]]
+        return np.bitwise_xor.reduce(x.reshape(len(x), size // to, to // 8), axis=1) if size > to else x
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sizes of pairs of sets allow a link."""
+        a, b = self.n[i], self.n[j]
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs whose sketches do not rule a link out, and their distances over their sizes."""
+        places, apart = [], []
+        kinds = self.size[i] * (1 << 32) + self.size[j]
+        for kind in np.unique(kinds).tolist():
+            a, b = kind >> 32, kind & 0xFFFFFFFF
+            size = min(a, b)
+            part = np.flatnonzero(kinds == kind)
+            step = max(1, (1 << 22) // max(a, b))
+            for at in range(0, len(part), step):
+                p = part[at : at + step]
+                total = self.n[i[p]] + self.n[j[p]]
+                for to in (max(8, size // self.COARSE), size):
+                    far = np.bitwise_count(self._folded(a, i[p], to) ^ self._folded(b, j[p], to)).sum(axis=1, dtype=np.int64)
+                    ok = far * (100 + self.percent) <= total * (100 - self.percent)
+                    p, total, far = p[ok], total[ok], far[ok]
+                places.append(p)
+                apart.append(far / total)
+        if not places:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        return np.concatenate(places), np.concatenate(apart)
+
+
+#: Members of a key up to which all its pairs are listed at once, together with those of other keys.
+FEW = 32
+
+
 def _apart(percent: int, nearest: bool):
     """Pairs of one key in two components whose sizes and sketches do not rule a link out.
 
-    nearest: of these only the nearest one of each member outside the key's largest component.
+    nearest: of keys with more than FEW members only the nearest one of each member outside the
+    key's largest component.
     """
 
-    def closest(rep, label, n, sketches):
-        size = min(map(len, sketches))
-        x = np.stack([_fold(z, size) for z in sketches]).view(K.U)
-        names, of = np.unique(label, return_inverse=True)
-        few = np.flatnonzero(of != np.bincount(of).argmax())
-        step = max(1, (1 << 21) // max(1, x.shape[1] * len(x)))
-        for at in range(0, len(few), step):
-            p = few[at : at + step]
-            far = np.bitwise_count(x[p][:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int64)
-            total = n[p][:, None] + n
-            ok = (label[p][:, None] != label) & (100 * np.minimum(n[p][:, None], n) >= percent * np.maximum(n[p][:, None], n))
-            ok &= far * (100 + percent) <= total * (100 - percent)
-            score = np.where(ok, far / total, 9.0)
-            v = score.argmin(axis=1)
-            good = score[np.arange(len(p)), v] < 9
-            yield rep[p[good]], rep[v[good]]
-
-    def compare(rep, label, n, side, sketches, low, high):
-        size = min(map(len, sketches))
-        x = np.stack([_fold(z, size) for z in sketches]).view(K.U)
-        first, second = (np.arange(len(rep)), np.arange(len(rep))) if low == high else (np.flatnonzero(side == low), np.flatnonzero(side == high))
-        step = max(1, (1 << 21) // max(1, x.shape[1] * len(second)))
-        for at in range(0, len(first), step):
-            p = first[at : at + step]
-            ok = (label[p][:, None] != label[second]) & (100 * np.minimum(n[p][:, None], n[second]) >= percent * np.maximum(n[p][:, None], n[second]))
-            if low == high:
-                ok &= p[:, None] < second
-            i, j = np.nonzero(ok)
-            for part in range(0, len(i), 1 << 15):
-                u, v = p[i[part : part + (1 << 15)]], second[j[part : part + (1 << 15)]]
-                far = np.bitwise_count(x[u] ^ x[v]).sum(axis=1, dtype=np.int64)
-                near = far * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
-                yield rep[u[near]], rep[v[near]]
+    def listed(unit: np.ndarray, set_of: np.ndarray, few: np.ndarray):
+        """All pairs of sets that share one of the marked keys; rows ascend by unit."""
+        row = np.flatnonzero(few)
+        unit, row = unit[row], set_of[row]
+        a, b = [], []
+        for k in range(1, FEW):
+            same = np.flatnonzero(unit[k:] == unit[:-k])
+            if not len(same):
+                break
+            a.append(row[same])
+            b.append(row[same + k])
+        return (np.concatenate(a), np.concatenate(b)) if a else (row[:0], row[:0])
 
     def run(key, table):
-        a, b = [], []
-        unit = table.column("unit").to_numpy()
+        rep, label, n = (table.column(c).to_numpy() for c in ("rep", "label", "n"))
+        sketches = Sketches(table.column("sketch").combine_chunks(), n, percent)
+        units = table.column("units").combine_chunks()
+        set_of = np.repeat(np.arange(len(rep)), np.diff(units.offsets.to_numpy()))
+        unit, kind = units.flatten().field(0).to_numpy(), units.flatten().field(1).to_numpy()
         o = np.argsort(unit, kind="stable")
-        rep, label, n, side, low, high = (table.column(c).to_numpy()[o] for c in ("rep", "label", "n", "side", "low", "high"))
-        sketch, unit = table.column("sketch").combine_chunks(), unit[o]
-        cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]])).tolist()
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            if y - x > 1:
-                part = sketch.take(pa.array(o[x:y])).to_pylist()
-                found = closest(rep[x:y], label[x:y], n[x:y], part) if nearest else compare(rep[x:y], label[x:y], n[x:y], side[x:y], part, low[x], high[x])
-                for p, q in found:
-                    a.append(np.minimum(p, q))
-                    b.append(np.maximum(p, q))
-        K.trim()
-        none = np.empty(0, dtype=np.int64)
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.stack([none, none])
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        unit, kind, set_of = unit[o], kind[o], set_of[o]
+        cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+        size = np.diff(cut)
+        few = np.repeat((size <= FEW) & (np.maximum.reduceat(kind, cut[:-1]) == 0), size)
+        found = []
+
+        def keep(i, j):
+            ok = (label[i] != label[j]) & sketches.possible(i, j)
+            i, j = i[ok], j[ok]
+            if len(i):
+                # one pair may share many keys
+                pair = np.unique(np.minimum(i, j) * len(rep) + np.maximum(i, j))
+                i, j = pair // len(rep), pair % len(rep)
+                near, far = sketches.near(i, j)
+                return i[near], j[near], far
+            return i, j, np.empty(0)
+
+        i, j = listed(unit, set_of, few)
+        for at in range(0, len(i), 1 << 20):
+            found.append(keep(i[at : at + (1 << 20)], j[at : at + (1 << 20)])[:2])
+        for x, y in zip(cut[:-1][size > 1].tolist(), cut[1:][size > 1].tolist(), strict=True):
+            if few[x]:
+                continue
+            part, side = set_of[x:y], kind[x:y]
+            names, of = np.unique(label[part], return_inverse=True)
+            odd = of != np.bincount(of).argmax()  # two sets in two components are not both in the largest
+            if side.max():
+                one, two = side == 1, side == 2
+                meetings = [(part[one & odd], part[two]), (part[one & ~odd], part[two & odd])]
+            else:
+                meetings = [(part[odd], part)]
+            for first, second in meetings:
+                step = max(1, (1 << 19) // max(1, len(second)))
+                for at in range(0, len(first), step):
+                    some = first[at : at + step]
+                    i, j, far = keep(np.repeat(some, len(second)), np.tile(second, len(some)))
+                    if nearest and len(i):
+                        both = np.concatenate([i, j])
+                        o = np.lexsort((np.concatenate([far, far]), both))
+                        best = o[np.concatenate([[True], both[o[1:]] != both[o[:-1]]])]
+                        best = np.unique(best[np.isin(both[best], some)] % len(i))
+                        i, j = i[best], j[best]
+                    found.append((i, j))
+        if len(unit) > 10 * TOGETHER:
+            K.trim()
+        i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2
+        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return run
 
@@ -423,10 +498,12 @@ def jaccard_components(
 
     each = ws.put(slim.mapInArrow(_classes(words, percent), "id long, n long, s1 long, s2 long, sketch binary"), "each")
     full = each.where("n > 0")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+    # A table, so that joins with it have two plain sides, of which a hot class can be split.
+    reps = ws.put(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "reps")
     classes = ws.put(full.join(reps, ["s1", "s2", "n"]).select("id", "n", "rep"), "classes")
 
-    buckets = min(1 << 20, 2 * partitions(spark))
+    shingles = full.agg(F.sum("n")).first()[0] or 0
+    buckets = min(1 << 20, max(2 * partitions(spark), shingles // BUCKET_KEYS))
     keyed = slim.where("id is not null").mapInArrow(_keyed(words, percent, buckets), "bucket int, ids binary, sigs binary, counts binary, keys binary")
     shared = ws.put(keyed.groupBy("bucket").applyInArrow(_shared_keys, "key long, id long"), "shared")
     release(spark)
@@ -458,20 +535,25 @@ def jaccard_components(
         known = member.join(label.toDF("rep", "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y").drop("y")
         mixed = ws.put(mixed.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), f"{name}-keys")
-        # keys of one component lie together, in as many places as their rows need
+        # units of one component lie together, in as many places as their rows need
         places = mixed.groupBy("x").agg(F.ceil(F.sum(F.col("c") * F.col("blocks")) / TOGETHER).alias("places"))
-        mixed = mixed.join(places, "x").select("key", "blocks", F.xxhash64("x", F.pmod(F.xxhash64("key"), "places")).alias("place"))
+        mixed = mixed.join(places, "x").select("key", "blocks", "x", "places")
         return ws.put(known.join(mixed, "key"), name)
 
     def apart(known: DataFrame, nearest: bool) -> DataFrame:
         """Pairs that share a key, lie in two components and are near by their sketches."""
+        low, high = F.least("side", "other"), F.greatest("side", "other")
         dealt = (
             known.withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", "rep", "label", "place", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-            .withColumn("unit", F.xxhash64("key", "low", "high"))
+            # a unit is a block with itself (kind 0) or one (kind 1) with another (kind 2)
+            .select("x", "places", "rep", "label", F.xxhash64("key", low, high).alias("unit"), F.when(low == high, 0).when(F.col("side") == low, 1).otherwise(2).alias("kind"))
+            # so many groups that a partition has several, and no place is a large part of one
+            .withColumn("bucket", F.pmod(F.xxhash64("x", F.pmod("unit", "places")), F.lit(8 * partitions(spark))).cast("int"))
         )
-        dealt = dealt.join(look.select(F.col("id").alias("rep"), "n", "sketch"), "rep").withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
+        # a set's sketch travels once to each bucket, with all its units there
+        dealt = dealt.groupBy("bucket", "rep", "label").agg(F.collect_list(F.struct("unit", "kind")).alias("units"))
+        dealt = dealt.join(look.select(F.col("id").alias("rep"), "n", "sketch"), "rep")
         return dealt.groupBy("bucket").applyInArrow(_apart(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
     for i in range(ROUNDS + 1):
