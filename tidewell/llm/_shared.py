@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,12 +16,15 @@ from ..session import ship  # noqa: F401  used by the operators
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary one is made.
+    Only where it is unset on a local master, as in tests, a temporary one is made; on a
+    cluster each executor would write to its own disk, so there it is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local($|\[)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(sc, "_tidewell_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tidewell-")
@@ -40,6 +44,17 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.remove)
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Workspace:
+        """A folder that was made elsewhere and stays."""
+        ws = cls.__new__(cls)
+        ws.spark, ws.path = spark, path
+        return ws
+
+    def exists(self, name: str) -> bool:
+        fs, p = self._found(f"{self.path}/{name}")
+        return fs.exists(p)
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return it as read back, with its schema given."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -60,10 +75,13 @@ class Workspace:
         except Exception:  # the session is already gone; the folder is named for cleaning
             shutil.rmtree(self.path.removeprefix("file://"), ignore_errors=True)
 
+    def _found(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._found(path)
+        fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -77,7 +95,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case."""
+    have, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in have:
+        name = f"_{name}"
+    return name
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,7 @@ U = np.uint64
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
+_SECOND_BASE = 0xD1B54A32D192ED03
 _BLOCK = 1 << 16
 
 #: Word alphabets, as the bytes that do NOT belong to words.
@@ -124,8 +125,8 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word positions, hashes) of all windows of k words that lie in one document."""
+    def windows(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(word positions, hashes) of all windows of k words that lie in one document; second: by another hash."""
         n = len(self.hash)
         if n < k:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=U)
@@ -136,20 +137,21 @@ class Words:
         last = self.first[-1]
         good[max(0, last - k + 1) :] = False
         at = np.flatnonzero(good)
-        if k <= 8:
+        if k <= 8 and not second:
             h = np.zeros(n - k + 1, dtype=U)
             for j in range(k):
                 h *= U(_WORD_BASE)
                 h += self.hash[j : n - k + 1 + j]
             h = h[at]
         else:
-            v = self.hash.copy()
-            _scale(v, _WORD_BASE)
+            base = _SECOND_BASE if second else _WORD_BASE
+            v = mix(self.hash ^ U(base)) if second else self.hash.copy()
+            _scale(v, base)
             total = np.empty(n + 1, dtype=U)
             total[0] = 0
             np.cumsum(v, out=total[1:])
             h = total[at + k] - total[at]
-            _unscale(h, at, _WORD_BASE)
+            _unscale(h, at, base)
         return at, mix(h)
 
     def whole(self, docs: np.ndarray) -> np.ndarray:
