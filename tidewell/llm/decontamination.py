@@ -4,15 +4,18 @@ A window is `window` consecutive item words (a shorter item is one window). The
 join goes by containment 1.0, so one token of each window is a necessary prefix:
 the window's rarest shingle, rarity being counted over all documents. Documents
 look up their shingles among those prefixes, positional and length bounds give
-the only start a match can have, and the words there are compared one by one.
+the only start a match can have, and the words there are compared one by one,
+as 64-bit hashes.
 
 The item side is taken in blocks of at most `block_windows` windows, so what a
-task holds does not grow with the benchmark; each block meets all documents.
+task holds does not grow with the benchmark; each block meets all documents. What
+blocks find is put together by a key that each row gets once and that is written down.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from ._shared import ship
+from ._shared import Workspace, ship, unused
 
 BLOCK_WINDOWS = 200_000
 _BITS = 20
@@ -93,7 +96,7 @@ def _blocks(items: DataFrame, window: int, shingle: int, most: int) -> Iterator[
         yield Index(found, shingle)
 
 
-def _count(shared, text_col: str):
+def _count(shared):
     """Occurrences of the block's shingles, over all documents of a task."""
 
     def run(batches):
@@ -105,7 +108,7 @@ def _count(shared, text_col: str):
             keys = np.unique(h[inside])
             total[size] = (keys, _bitmap(keys), np.zeros(len(keys), dtype=np.int64))
         for batch in batches:
-            for _, _, w in K.words_of(batch.column(text_col), K.NON_ALNUM, True):
+            for _, _, w in K.words_of(batch.column(0), K.NON_ALNUM, True):
                 for size, (keys, bits, n) in total.items():
                     _, h = w.windows(size)
                     h = h[bits[(h & K.U((1 << _BITS) - 1)).astype(np.int64)]]
@@ -144,15 +147,15 @@ def _match(index: Index, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(windows)
 
 
-def _find(shared, text_col: str, carry: list[str]):
-    """Merged hit spans and item ids of each document."""
+def _find(shared, carry: list[str]):
+    """Merged hit spans and item ids of each document; its columns are those to carry and the text."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         index: Index | None = shared.value if shared else None
         for batch in batches:
             n_words, spans, items, sizes = [], [], [], []
-            for a, b, w in K.words_of(batch.column(text_col), K.NON_ALNUM, True):
+            for a, b, w in K.words_of(batch.column(len(carry)), K.NON_ALNUM, True):
                 n_words.append(w.counts)
                 out_s: list[list] = [[] for _ in range(b - a)]
                 out_i: list[set] = [set() for _ in range(b - a)]
@@ -171,7 +174,7 @@ def _find(shared, text_col: str, carry: list[str]):
                             out_s[d].append({"start": s, "end": e})
                 spans += out_s
                 items += [sorted(x) for x in out_i]
-            cols = [batch.column(c) for c in carry]
+            cols = [batch.column(i) for i in range(len(carry))]
             n = np.concatenate(n_words) if n_words else np.empty(0, dtype=np.int64)
             cols += [pa.array(n.astype(np.int64)), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, [*carry, "n_words", "spans", "item_ids"])
@@ -219,28 +222,40 @@ def contamination(
     ship(spark)
     made = {"n_words", "spans", "item_ids"}
     carry = [c for c in (carry if carry is not None else [c for c in docs.columns if c != text_col]) if c not in made]
-    slim = docs.select(*dict.fromkeys([*carry, text_col]))
-    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in carry), _FOUND])
-    out = []
-    for index in _blocks(items, window, shingle, block_windows):
+    own, text = [F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), _FOUND])
+
+    def ordered(index: Index, texts: DataFrame):
+        """The block, its prefixes chosen by the shingles' counts over all documents, for the tasks."""
         first = spark.sparkContext.broadcast(index)
-        rows = docs.select(text_col).mapInArrow(_count(first, text_col), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        index.order({r.gram: r.n for r in rows})  # at most the block's shingles
+        rows = texts.mapInArrow(_count(first), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         first.destroy()
-        out.append(slim.mapInArrow(_find(spark.sparkContext.broadcast(index), text_col, carry), schema))
-    if len(out) < 2:
-        return out[0] if out else slim.mapInArrow(_find(None, text_col, carry), schema)
-    # Several blocks: what they found is put together by the carried columns. Rows that
-    # repeat in all of them are told apart by count; equal ids with unequal texts of the
-    # same length get the union of their hits.
-    every = out[0]
-    for df in out[1:]:
-        every = every.unionByName(df)
-    return (
-        every.groupBy(*carry, "n_words")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.count("*").alias("_n"))
-        .select(*carry, "n_words", _merge(F.col("spans")).alias("spans"), "item_ids", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(out)).cast("int"))).alias("_copy"))
-        .drop("_copy")
+        index.order({r.gram: r.n for r in rows})  # at most the block's shingles
+        return spark.sparkContext.broadcast(index)
+
+    blocks = _blocks(items, window, shingle, block_windows)
+    first, second = next(blocks, None), next(blocks, None)
+    raw = unused(docs, "raw")
+    slim = docs.select(*own, text.alias(raw))
+    if second is None:
+        return slim.mapInArrow(_find(ordered(first, docs.select(text)) if first else None, carry), schema)
+
+    ws = Workspace(spark, "decontamination")
+    row = unused(slim, "row")
+    base = ws.put(slim.withColumn(row, F.monotonically_increasing_id()), "rows")
+    hits = None
+    for i, index in enumerate(chain((first, second), blocks)):
+        shared = ordered(index, base.select(raw))
+        found = base.select(row, raw).mapInArrow(_find(shared, [row]), f"`{row}` long, {_FOUND}")
+        found = ws.put(found.where("size(spans) > 0").drop("n_words"), f"block{i}")
+        shared.destroy()
+        hits = found if hits is None else hits.union(found)
+    hits = hits.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("item_ids")).alias("i"))
+    hits = hits.select(row, _merge(F.col("s")).alias("spans"), F.array_sort(F.array_distinct("i")).alias("item_ids"))
+    every = base.select(*own, row, raw).mapInArrow(_find(None, [*carry, row]), f"{schema.removesuffix(_FOUND)}`{row}` long, {_FOUND}").drop("spans", "item_ids")
+    none = F.array()
+    return every.join(hits, row, "left").select(
+        *own, "n_words", F.coalesce("spans", none.cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("item_ids", none.cast("array<string>")).alias("item_ids")
     )
 
 
