@@ -8,7 +8,10 @@ emits it with the place its length says the next record starts. Within the block
 links are followed at once; across blocks by pointer jumping from the file's start, over
 one entry a block, in as many rounds as the logarithm of a file's blocks. Only records
 that the chain reaches are real. A record whose payload holds magic lines is put
-together again from its pieces.
+together again from its pieces. A file whose chain ends before the file does is an error.
+
+Records of WARC/1.0 and 1.1 are read, from plain files and from .gz ones (a task a file, as gzip
+can't be entered in the middle).
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from ._shared import Workspace, ship
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
-_STEP = len(MAGIC)
+#: What files are cut at: a magic line up to its last digit.
+SPLIT = "WARC/1."
+_STEP = len(SPLIT)
+_VERSIONS = (b"0\r\n", b"1\r\n")
 #: Repeated payloads up to this many distinct ones are joined by broadcast (some 100 bytes each).
 BROADCAST_REPEATS = 200_000
 _ID = "urn:x-page:"
@@ -55,8 +61,8 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*(x for k, v in pairs for x in (F.lit(f"{k}: "), v, F.lit("\r\n"))))
 
 
-def write_warc(spark: SparkSession, pages: DataFrame, path: str, least: int = 1000, ws: Workspace | None = None, **names) -> None:
-    """Write a record for every page under `path`, in a store that Spark writes to.
+def write_warc(spark: SparkSession, pages: DataFrame, path: str, least: int = 1000, ws: Workspace | None = None, compression: str | None = None, **names) -> None:
+    """Write a record for every page under `path`, in a store that Spark writes to; compression: None or gzip.
 
     Defined cases: null payloads and urls are empty; rows that repeat an id and payload are all
     responses; null ids are written as empty ones; line ends in urls are left out; an empty
@@ -82,18 +88,20 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str, least: int = 10
         _lines(("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.octet_length(body).cast("string"))),
         F.lit("\r\n"),
     )
-    d.select(F.concat(head, body).alias("value")).write.mode("overwrite").option("lineSep", END).text(path)
+    d.select(F.concat(head, body).alias("value")).write.mode("overwrite").option("lineSep", END).text(path, compression=compression)
 
 
 _FIELD = re.compile(rb"(?:^|\r\n)([A-Za-z-]+): ?([^\r\n]*)")
 
 
 def _header(raw: bytes) -> tuple[dict[str, str], int, int] | None:
-    """(fields, header bytes with the empty line, content length) if raw starts like a record; urls make headers of any length."""
+    """(fields, header bytes with the empty line, content length) if raw goes on like a record after SPLIT; urls make headers of any length."""
+    if not raw.startswith(_VERSIONS):
+        return None
     stop = raw.find(b"\r\n\r\n")
     if stop < 0:
         return None
-    fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(raw[:stop])}
+    fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(raw[1:stop])}
     n = fields.get("content-length", "")
     if not (n.isascii() and n.isdigit() and "warc-type" in fields):
         return None
@@ -194,7 +202,7 @@ def _joined(keep: bool):
         for batch in batches:
             out = []
             for parts in batch.column(2).to_pylist():
-                raw = MAGIC.encode().join(bytes(p["raw"]) for p in parts)
+                raw = SPLIT.encode().join(bytes(p["raw"]) for p in parts)
                 fields, head, n = _header(raw)
                 out.append(_parsed(fields, raw[head : head + n], True, keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[c] for r in out], t) for c, t in schema)], ["file", "start", *(c for c, _ in schema)])
@@ -202,24 +210,26 @@ def _joined(keep: bool):
     return run
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = False, ws: Workspace | None = None) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = False, ws: Workspace | None = None, strict: bool = True) -> DataFrame:
     """The real records of all archives under `path`, each with its file and offset.
 
     Columns: file, offset, type, record_id, refers_to, uri, declared (payload digest), full_bytes
     (the payload's length as declared), bytes, digest (of the content here, lower-case hex) and,
     if asked for, payload.
 
-    A file's chain starts at its first byte; what no link reaches from there is not a record,
-    and records after a broken link are not reached. Defined cases: an empty folder or file
-    gives no rows; contents may hold magic lines, whole records or any bytes.
+    A file's chain starts at its first byte; what no link reaches from there is not a record.
+    A chain that ends before its file does (a wrong length, a torn record, a file that is no
+    archive) raises ValueError with the file and the place; with strict=False the records
+    before the break are given. Defined cases: an empty folder or file gives no rows;
+    contents may hold magic lines, whole records or any bytes.
     """
     ship(spark)
     ws = ws or Workspace(spark, "warc")
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    pieces = spark.read.option("lineSep", SPLIT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
     found = ws.put(pieces.mapInArrow(_scan(payload), _CANDIDATE), "candidates")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = ws.put(found.where("rel = -1").select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "blocks")
-    cand = found.where("rel >= 0").join(blocks, ["file", "block"])
+    blocks = ws.put(found.where("rel = -1").select("file", "block", "total", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "blocks")
+    cand = found.where("rel >= 0").drop("total").join(blocks, ["file", "block"])
     cand = cand.withColumn("start", F.col("base") + F.col("rel")).withColumn("after", F.col("base") + F.col("next")).withColumn("exit", F.col("base") + F.col("exit"))
 
     # Pointer jumping over the few candidates that another block's chain, or the file's start, may enter.
@@ -239,13 +249,20 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False, ws: Workspa
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema if f.name != "entry")
     real = ws.put(marked.groupBy("file", "block").applyInArrow(_walk, kept), "real")
 
+    if strict:
+        ends = real.groupBy("file").agg(F.max("after").alias("after"))
+        # positions count from after SPLIT, and each file's pieces one SPLIT more than it holds
+        torn = blocks.groupBy("file").agg(F.sum("total").alias("size")).where(F.col("size") > _STEP).join(ends, "file", "left").where("after is null or after <> size")
+        if bad := torn.select("file", F.coalesce(F.col("after") - _STEP, F.lit(0)).alias("at")).orderBy("file").limit(5).collect():
+            raise ValueError("archives whose records end before the file: " + ", ".join(f"{r.file} at byte {r.at}" for r in bad))
+
     out = real.where("whole").select("file", "start", *fields)
     split = real.where("not whole").select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("after").alias("e"))
     if split.limit(1).count():
         # Pieces of records that hold magic lines: a piece belongs to the last real record that starts at or before it.
-        own = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+        own = spark.read.option("lineSep", SPLIT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
         cut = own.join(F.broadcast(split.select(F.col("f").alias("file")).distinct()), "file", "left_semi") if split.count() < BROADCAST_REPEATS else own
-        place = cut.select("file", "block", "value").mapInArrow(_pieces, "file string, block long, rel long, raw binary").join(blocks, ["file", "block"])
+        place = cut.select("file", "block", "value").mapInArrow(_pieces, "file string, block long, rel long, raw binary").join(blocks.drop("total"), ["file", "block"])
         place = place.select("file", (F.col("base") + F.col("rel")).alias("at"), "raw")
         cell = 1 << 26
         starts = split.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor(F.col("e") / cell))))
@@ -257,20 +274,39 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False, ws: Workspa
     return out.select("file", (F.col("start") - _STEP).alias("offset"), *keep)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with payload_bytes and payload_digest of the full payload, and agrees.
+
+    A revisit's are those of the response it refers to, as read from its content, if that has the
+    digest and length the revisit declares (of responses that share an id, one that has);
+    else they are null and agrees is false. The responses that revisits name are joined
+    by broadcast if they are few, else by a shuffle.
+    """
+    plain = records.where("type <> 'revisit'").withColumns({"payload_bytes": F.col("bytes"), "payload_digest": F.col("digest"), "agrees": F.lit(True)})
+    again = records.where("type = 'revisit'").withColumn("_said", F.regexp_replace("declared", "^sha1:", ""))
+    asked = again.select(F.col("refers_to").alias("record_id"), F.col("_said").alias("digest"), F.col("full_bytes").alias("bytes")).distinct()
+    named = records.where("type <> 'revisit'").join(asked, ["record_id", "digest", "bytes"], "left_semi").select("record_id", "digest", "bytes").distinct()
+    named = named.toDF("refers_to", "payload_digest", "payload_bytes")
+    if named.count() <= BROADCAST_REPEATS:
+        named = F.broadcast(named)
+    on = (again["refers_to"] == named["refers_to"]) & (again["_said"] == named["payload_digest"]) & (again["full_bytes"] == named["payload_bytes"])
+    again = again.join(named, on, "left").drop(named["refers_to"]).drop("_said").withColumn("agrees", F.col("payload_digest").isNotNull())
+    return plain.unionByName(again)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and read back."""
+    """All pages written to archives and read back; a revisit's payload is that of its response."""
     from ..sources.tables import table
 
     ws = Workspace(spark, "warc")
     write_warc(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{ws.path}/archive", ws=ws)
-    r = read_warc(spark, f"{ws.path}/archive", ws=ws)
+    r = resolved(ws.put(read_warc(spark, f"{ws.path}/archive", ws=ws), "records"))
     number = lambda c: F.regexp_extract(c, rf"^<{_ID}(-?\d+)>$", 1)
     long = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    revisit = F.col("type") == "revisit"
     return r.select(
         long("record_id").alias("page_id"),
-        F.when(revisit, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace("declared", "^sha1:", "")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.when(F.col("agrees"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(F.col("agrees"), F.col("payload_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         long("refers_to").alias("refers_to"),
     )
