@@ -3,8 +3,9 @@
 A record is a nested value: JSON text, or columns. Its schema, with scalar types left out,
 is the set of its nested field paths; the hash of that is the record's fingerprint. Each
 Layout declares the paths it needs and those it may have, so the fingerprints it answers to
-can be listed beforehand, and how turns come out of them. Records of any mix of layouts are
-converted in one projection. A template then marks the turns; control strings inside texts
+can be listed beforehand, and how turns come out of them. A record with fields beyond those is
+told by the fields it has: the first layout all of whose needed paths are there. Records of any
+mix of layouts are converted in one projection. A template then marks the turns; control strings inside texts
 are escaped reversibly, so formatted text can be read back.
 """
 
@@ -16,6 +17,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import unused
+
 TURN = "struct<role:string,text:string>"
 
 
@@ -120,28 +123,50 @@ def _mapped(layout: Layout, v: Column) -> Column:
     return F.concat(fixed.cast(f"array<{TURN}>"), F.transform(F.coalesce(items, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), canonical).cast(f"array<{TURN}>"))
 
 
+def _has(layout: Layout, v: Column) -> Column:
+    """Whether a record has all fields that a layout needs, whatever else it has."""
+    found = [F.try_variant_get(v, _path(p), "variant").isNotNull() for p in layout.needs if "[]" not in p]
+    if layout.each:
+        array, role, text = layout.each
+        items = F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: string>>")
+        found.append(items.isNotNull() & F.exists(items, lambda x: x[role].isNotNull()) & F.exists(items, lambda x: x[text].isNotNull()))
+    out = found[0]
+    for x in found[1:]:
+        out = out & x
+    return F.coalesce(out, F.lit(False))
+
+
 def canonical_turns(docs: DataFrame, record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """All columns of docs with layout (its name, null if none fits), fingerprint and turns.
 
     record: JSON text, a struct, or a variant. Defined cases: null records and text that is
-    no JSON, and records whose paths no layout lists, have null layout and turns; null texts
-    and roles become empty; an empty list of messages gives no turns; columns named like a
-    result are replaced. One record may not exceed what a variant holds, 128 MB.
+    no JSON, and records without the fields that some layout needs, have null layout and turns
+    (unmapped() counts them by fingerprint); null texts and roles become empty; an empty list of
+    messages gives no turns; columns named like a result are replaced, others may have any name.
+    One record may not exceed what a variant holds, 128 MB.
     """
     kind = docs.select(record.alias("r")).schema["r"].dataType.simpleString()
     if kind == "string":
         record = F.try_parse_json(record)
     elif kind != "variant":
         record = F.to_variant_object(record)
-    keep = [c for c in docs.columns if c not in ("layout", "fingerprint", "turns", "_v")]
-    d = docs.select(*(F.col(f"`{c}`") for c in keep), record.alias("_v")).withColumn("fingerprint", fingerprint(F.col("_v")))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
+    keep = [c for c in docs.columns if c not in ("layout", "fingerprint", "turns")]
+    v = unused(docs, "v")
+    own = [F.col(f"`{c}`") for c in keep]
+    d = docs.select(*own, record.alias(v)).withColumn("fingerprint", fingerprint(F.col(v)))
+    listed, near, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for x in reversed(layouts):
-        fits = F.col("fingerprint").isin([F.xxhash64(F.lit(s)) for s in x.shapes()])  # folded to constants
-        name = F.when(fits, F.lit(x.name)).otherwise(name)
-        turns = F.when(fits, _mapped(x, F.col("_v"))).otherwise(turns)
+        listed = F.when(F.col("fingerprint").isin([F.xxhash64(F.lit(s)) for s in x.shapes()]), F.lit(x.name)).otherwise(listed)  # folded to constants
+        near = F.when(_has(x, F.col(v)), F.lit(x.name)).otherwise(near)
+        turns = F.when(F.col("layout") == x.name, _mapped(x, F.col(v))).otherwise(turns)
+    d = d.withColumn("layout", F.when(listed.isNotNull(), listed).otherwise(near))
     clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return d.withColumn("layout", name).withColumn("turns", clean.cast(f"array<{TURN}>")).drop("_v")
+    return d.select(*own, "fingerprint", "layout", clean.cast(f"array<{TURN}>").alias("turns"))
+
+
+def unmapped(turns: DataFrame) -> DataFrame:
+    """(fingerprint, n) of the records that no layout fits, the most frequent first."""
+    return turns.where("layout is null").groupBy("fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fingerprint")
 
 
 @dataclass(frozen=True)
