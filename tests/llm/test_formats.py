@@ -36,6 +36,27 @@ def test_layouts_and_round_trip(spark):
                 assert x.formatted[s.start + s.length :].startswith("<|im_end|>")
 
 
+def test_records_with_other_fields_are_told_by_those_they_need(spark):
+    from tidewell.llm.chat import canonical_turns, unmapped
+
+    records = [
+        '{"messages":[{"role":"user","content":"hi","weight":1},{"role":"bot","content":"yo","tools":[1]}],"model":"m","meta":{"a":[1]}}',
+        '{"prompt":"p","response":"r","id":5,"score":0.5}',
+        '{"instruction":"i","output":"o","input":"x","tags":["a"],"source":{"url":"u"}}',
+        '{"conversations":[{"from":"gpt","value":"v","n":null}],"z":true}',
+        '{"messages":"not a list","prompt":"p"}',
+        '{"only":1}',
+        '{"only":2}',
+    ]
+    d = spark.createDataFrame(list(enumerate(records)), "i int, r string").selectExpr("*", "i as _v", "1 as _V2")
+    turns = canonical_turns(d, F.col("r"))
+    got = {x.i: x for x in turns.collect()}
+    assert [got[i].layout for i in range(7)] == ["messages", "prompt", "instruction", "conversations", None, None, None]
+    assert [(t.role, t.text) for t in got[0].turns] == [("user", "hi"), ("assistant", "yo")] and [(t.role, t.text) for t in got[1].turns] == [("user", "p"), ("assistant", "r")]
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", "i\n\nx"), ("assistant", "o")] and got[3].turns[0].text == "v" and got[4].turns is None
+    assert all(x._v == x.i for x in got.values()) and [x.n for x in unmapped(turns).collect()] == [2, 1]
+
+
 def test_escaping_is_reversible(spark):
     from tidewell.llm.chat import TURN, Template
 
@@ -110,6 +131,69 @@ def test_warc_long_urls(spark, block):
     assert sorted((int(x.record_id[12:-1]), x.uri, bytes(x.payload).decode()) for x in got) == rows
 
 
+def record(version, n, body, extra=b""):
+    return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{n}>\r\n".encode() + extra + f"Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("block", ["700", "100m"])
+def test_warc_versions_and_gzip(spark, tmp_path, block):
+    """Records of both versions, plain and compressed one by one, as crawls have them."""
+    import gzip
+
+    from tidewell.llm.warc import read_warc
+
+    inner = record("1.0", 98, b"zz")
+    bodies = {n: (b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + n % 26]) * (n * 37 % 900)) + (inner if n % 5 == 0 else b"") for n in range(1, 40)}
+    (tmp_path / "a.warc").write_bytes(b"".join(record("1.0" if n % 3 else "1.1", n, x) for n, x in bodies.items() if n < 20))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record("1.0", n, x)) for n, x in bodies.items() if n >= 20))
+    (tmp_path / "c.warc").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = read_warc(spark, str(tmp_path), payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {int(x.record_id[12:-1]): bytes(x.payload) for x in got} == bodies and len(got) == len(bodies)
+
+
+def test_warc_gzip_round_trip(spark):
+    from tidewell.llm._shared import Workspace
+    from tidewell.llm.warc import read_warc, write_warc
+
+    ws = Workspace(spark, "test")
+    d = spark.createDataFrame([(i, "u", INNER * (i % 3) + "é" * i) for i in range(30)], "page_id long, url string, html string").repartition(2)
+    write_warc(spark, d, ws.path + "/a", ws=ws, compression="gzip")
+    got = {int(x.record_id[12:-1]): bytes(x.payload).decode() for x in read_warc(spark, ws.path + "/a", payload=True, ws=ws).collect()}
+    assert got == {x.page_id: x.html for x in d.collect()}
+
+
+@pytest.mark.parametrize("harm", ["torn", "length", "front", "no archive"])
+def test_warc_broken_chains_are_errors(spark, tmp_path, harm):
+    from tidewell.llm.warc import read_warc
+
+    good = [record("1.1", n, b"x" * 50) for n in range(6)]
+    bad = {
+        "torn": b"".join(good)[:-30], "length": b"".join([*good[:3], good[3].replace(b"Length: 50", b"Length: 49"), *good[4:]]), "front": b"junk" + b"".join(good), "no archive": b"some text\n" * 9
+    }[harm]
+    (tmp_path / "good.warc").write_bytes(b"".join(good))
+    (tmp_path / "bad.warc").write_bytes(bad)
+    with pytest.raises(ValueError, match="bad.warc at byte"):
+        read_warc(spark, str(tmp_path))
+    rows = read_warc(spark, str(tmp_path), strict=False).collect()
+    assert sum(x.file.endswith("good.warc") for x in rows) == 6
+
+
+def test_warc_revisits_are_held_against_their_response(spark):
+    from tidewell.llm.warc import resolved
+
+    fields = "type string, record_id string, refers_to string, declared string, full_bytes long, bytes long, digest string"
+    rows = [
+        ("response", "r1", None, "sha1:aa", 5, 5, "aa"), ("revisit", "r2", "r1", "sha1:aa", 5, 0, "00"), ("revisit", "r3", "r1", "sha1:bb", 5, 0, "00"), ("revisit", "r4", "gone", "sha1:aa", 5, 0, "00"),
+    ]
+    got = {x.record_id: (x.payload_bytes, x.payload_digest, x.agrees) for x in resolved(spark.createDataFrame(rows, fields)).collect()}
+    assert got == {"r1": (5, "aa", True), "r2": (5, "aa", True), "r3": (None, None, False), "r4": (None, None, False)}
+
+
 def test_warc_empty_and_null_ids(spark, tmp_path):
     from tidewell.llm.warc import op5_warc
 
@@ -150,6 +234,47 @@ def test_long_texts_splice_exactly(tokenizer):
         assert long_ids(tokenizer, t, r.choice([50, 200, 500]), r.choice([10, 40]), r.choice([2, 8])) == whole
 
 
+@pytest.mark.parametrize("text", ["日本語文書処理" * 4300, "日本語、文書。処理" * 3300, "1234567890" * 3000, "if(x[i]>=y){z+=1;}" * 1700, "x" * 30_000, " \n" * 15_000, "=-" * 15_000, "don't" * 6000, "Ωμέγα" * 6000])
+def test_texts_without_spaces_are_not_encoded_whole(tokenizer, text, monkeypatch):
+    from tidewell.llm.tokens import Codec, long_ids
+
+    whole = tokenizer.library.encode(text, add_special_tokens=False).ids
+    seen = []
+    spans = Codec.spans
+    monkeypatch.setattr(Codec, "spans", lambda self, t: seen.append(len(t)) or spans(self, t))
+    assert long_ids(tokenizer, text, 2000, 400) == whole
+    assert max(seen) <= 4000 and sum(seen) < 3 * len(text)
+
+
+def test_boundaries_inside_words_are_proven_pair_by_pair(tokenizer):
+    """Chunks of single words and digits: every splice lies inside a piece."""
+    from tidewell.llm.tokens import long_ids
+
+    r = random.Random(2)
+    for _ in range(120):
+        kind = r.choice(["abcdefgh", "aab", "0123456789", "日本語文書処理", "!?-=", "тексты", "e\u0301a", "的一是不了", "\n\t ", "aéß"])
+        t = "".join(r.choice(kind) for _ in range(r.randint(200, 3000)))
+        whole = tokenizer.library.encode(t, add_special_tokens=False).ids
+        assert long_ids(tokenizer, t, r.choice([60, 200]), r.choice([20, 60]), r.choice([1, 2, 8])) == whole
+
+
+def test_op7_on_documents_against_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    import os
+
+    from tokenizers import Tokenizer
+
+    from tidewell.llm.tokens import op7_token_counts
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {i: len(e.ids) for i, e in zip(docs, t.encode_batch(list(docs.values()), add_special_tokens=False), strict=True)}
+    got = op7_token_counts(spark, sf).collect()
+    assert len(got) == len(docs)
+    assert all((x.n_bytes, x.n_tokens, x.over_limit) == (len(docs[x.doc_id].encode()), want[x.doc_id], want[x.doc_id] > 1024) for x in got)
+
+
 def test_token_counts_edges(spark):
     P = pytest.importorskip("public_tokenizers")
     from tidewell.llm.tokens import token_counts

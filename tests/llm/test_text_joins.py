@@ -221,6 +221,21 @@ def test_contamination(spark, block):
     assert sorted(((x.doc_id, x.n_words, sum(s.end - s.start for s in x.spans), list(x.item_ids)) for x in got), key=str) == brute_contamination(texts, items)
 
 
+@pytest.mark.parametrize("block", [200_000, 2])
+def test_contamination_of_rows_that_share_an_id(spark, block):
+    """Each row keeps its own hits, whatever blocks there are, and clashing columns stay."""
+    from tidewell.llm.decontamination import contamination
+
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    b = spark.createDataFrame([(1, say("a", 12)), (2, say("b", 12))], "item_id long, text string")
+    rows = [(1, say("x", 12), "p"), (1, say("a", 12), "q"), (1, say("b", 12), "p"), (1, say("b", 12), "p"), (None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _text string").selectExpr("*", "_text as _row", "1 as _raw", "2 as spans")
+    got = contamination(spark, d, b, block_windows=block).collect()
+    assert sorted((x.doc_id or 0, x._text or "", x._raw, x.n_words, sum(s.end - s.start for s in x.spans), list(x.item_ids)) for x in got) == [
+        (0, "", 1, 0, 0, []), (1, "p", 1, 12, 0, []), (1, "p", 1, 12, 12, ["2"]), (1, "p", 1, 12, 12, ["2"]), (1, "q", 1, 12, 12, ["1"])
+    ]
+
+
 def test_contamination_empty(spark):
     from tidewell.llm.decontamination import contamination
 
@@ -263,13 +278,77 @@ def test_index_compacts(spark):
     from tidewell.llm._shared import Workspace
     from tidewell.llm.substrings import FingerprintIndex, _keyed
 
-    ws = Workspace(spark, "test")
-    index = FingerprintIndex(spark, ws, window=35, fanout=2)
+    index = FingerprintIndex(spark, f"{Workspace(spark, 'test').path}/index", window=35, fanout=2)
     text = " ".join(f"w{i}" for i in range(50))
     for i in range(4):
         found = index.add(_keyed(frame(spark, [(i, text)]), "doc_id", "text"))
-        assert found.select("id").distinct().count() == (0 if i == 0 else i + 1)
+        # a copy that is the only one of its run is given with the next; what runs merged before is not given again
+        assert found.select("id").distinct().count() == (0, 2, 1, 2)[i]
     assert [len(x) for x in index.levels] == [0, 0, 1]
+    index.remove()
+
+
+def test_index_goes_on_in_another_session(spark):
+    """Batches added by sessions that open the index again give what one batch gives; history is neither dealt nor sorted again."""
+    from tidewell.llm._shared import Workspace
+    from tidewell.llm.substrings import FingerprintIndex, _keyed, _sorted_buckets, _verified
+
+    r = random.Random(15)
+    passages = [" ".join(f"w{r.randrange(4000)}" for _ in range(n)) for n in (35, 50, 80)]
+    fill = lambda: [f"v{r.randrange(9000)}" for _ in range(r.randint(0, 60))]
+    texts = [(i, " ".join([*fill(), r.choice(passages), *fill()])) for i in range(45)] + [(99, None), (98, passages[2] + " " + passages[2])]
+    ws = Workspace(spark, "test")
+    docs = _keyed(frame(spark, texts), "doc_id", "text")
+
+    def windows(suspects, name):
+        rows = _verified(ws, docs, suspects, 35, name).collect()
+        return {(x.id, x.lo + j) for x in rows for j in range(x.n)}
+
+    one = FingerprintIndex(spark, f"{ws.path}/one")
+    want = windows(one.add(docs), "w1")
+    found = None
+    for n in range(3):
+        session = spark.newSession()
+        index = FingerprintIndex(session, f"{ws.path}/more", window=35, fanout=3)
+        assert index.state["version"] == n
+        got = index.add(docs.where(F.pmod("id", F.lit(3)) == n))
+        found = got if found is None else found.union(got)
+        index.close()
+    assert want and windows(found, "w2") == want
+    index = FingerprintIndex(spark, f"{ws.path}/more")
+    assert index.state["fanout"] == 3 and [len(x) for x in index.levels] == [0, 1]
+    part = FingerprintIndex(spark, f"{ws.path}/part", fanout=9, buckets=3)
+    part.add(docs.where("id > 0"))
+    part.add(docs.where("id <= 0 and id % 2 = 0"))
+    with _sorted_buckets(spark):
+        for df in (part.met(*part.runs()), part.merged(*part.runs())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    for x in (one, index, part):
+        x.remove()
+
+
+def test_substrings_of_rows_that_share_an_id_and_clashing_names(spark):
+    from tidewell.llm.substrings import substring_dedup
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, b + " end", "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _text string").selectExpr("*", "_text as _id", "1 as _key", "2 as _RAW", "3 as n_words", "4 as `a b`")
+    got = substring_dedup(spark, d).collect()
+    assert sorted((x._text, x._id, x._key, x._RAW, x.n_words, x.n_removed, x.kept_text, x["a b"]) for x in got) == [("w", "w", 1, 2, 61, 60, "end", 4), ("x", "x", 1, 2, 60, 60, "", 4), ("y", "y", 1, 2, 60, 60, "", 4), ("z", "z", 1, 2, 60, 60, "", 4)]
+    one = spark.createDataFrame([("k1", a), ("k2", a), ("k1", b)], "doc_id string, text string")
+    assert sorted((x.doc_id, x.n_removed) for x in substring_dedup(spark, one).collect()) == [("k1", 0), ("k1", 60), ("k2", 60)]
+
+
+def test_windows_of_one_half_hash_are_told_apart():
+    import numpy as np
+
+    from tidewell.llm.substrings import _grouped
+
+    h = np.array([5, 5, 5, 7, 5], dtype=np.uint64)
+    g = np.array([1, 2, 1, 1, 2], dtype=np.uint32)
+    o, same = _grouped(h, g)
+    assert sorted(zip(o[:-1][same].tolist(), o[1:][same].tolist(), strict=True)) == [(0, 2), (1, 4)]
 
 
 def test_components_rounds_agree_with_one_task(spark, monkeypatch):
