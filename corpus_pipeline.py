@@ -8,6 +8,8 @@ folder and rereads it, so a lost executor costs at most part of one stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,53 +20,71 @@ from tidewell.sources.tables import table
 #: The model stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
-#: Ids of dropped near duplicates that may be broadcast; more are joined by a shuffle.
+#: Rows of dropped near duplicates that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with own columns under names that no operator makes, and the way back to docs' columns."""
+    other = {c: f"own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in other.items()))
+    return plain, lambda d: d.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not reject."""
-    net = quality.train(spark, docs, table(spark, sf_dir, "labels").where(f"not ({quality.HELD_OUT})"))
-    return quality.quality_scores(spark, docs, net).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    """Documents that the classifier, fitted on the labelled ones, does not reject.
+
+    Null and empty texts are scored like any other; rows of one text go or stay together; without
+    labels every score is one half, and nothing stays; an empty table stays empty.
+    """
+    plain, back = _plain(docs)
+    net = quality.train(spark, plain, table(spark, sf_dir, "labels").where(f"not ({quality.HELD_OUT})"))
+    return back(quality.quality_scores(spark, plain, net).where(F.col("score") >= quality.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, that with the smallest id.
+    """Of each group of linked rows, that with the smallest id, nulls last; of rows equal in that, one.
 
-    Rows without an id stay; of rows that repeat one id, one with the least text stays.
+    Rows are told apart by a number that each gets once, not by their ids: rows that share an id
+    and not their text all stay, and a row without an id goes like any other. Texts
+    without words link with nothing and stay.
     """
     ws = Workspace(spark, "pipeline")
-    groups = ws.put(jaccard.jaccard_components(spark, docs), "groups")
-    drop = ws.put(groups.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    plain, back = _plain(docs)
+    rows = ws.put(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = ws.put(jaccard.jaccard_components(spark, rows, "row").select("row", F.col("component_id").alias("group")), "groups")
+    # only rows of groups of two and more are looked at further
+    many = ws.put(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "many")
+    member = ws.put(groups.join(many, "group").join(rows.select("row", "doc_id"), "row"), "member")
+    best = ws.put(member.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")).select("group", F.col("best.row").alias("kept")), "best")
+    drop = ws.put(member.join(best, "group").where("row <> kept").select("row"), "drop")
     n = drop.count()
-    kept = docs.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, "doc_id", "left_anti")
-    twice = ws.put(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
-    if n := twice.count():
-        some = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-        again = kept.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
-        once = again.select("doc_id", "row.*").select(*docs.columns)
-        kept = kept.join(some, "doc_id", "left_anti").select(*docs.columns).union(once)
-    return kept.select(*docs.columns)
+    return back(rows.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, "row", "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontamination.contamination(spark, docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts have none; rows of one id are judged one by one; without items all stay.
+    """
+    plain, back = _plain(docs)
+    found = decontamination.contamination(spark, plain, table(spark, sf_dir, "benchmark"), carry=plain.columns)
+    return back(found.where(F.size("spans") == 0))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked in the text; n_chars follows."""
-    found = secrets.scan_secrets(spark, docs)
-    change = {"text": F.col("redacted")}
+    """All documents, secrets masked in the text; n_chars follows where a text was changed. Null texts stay null."""
+    plain, back = _plain(docs)
+    found = secrets.scan_secrets(spark, plain)
+    out = back(found.withColumn("text", F.col("redacted")).withColumn("doc_id", F.struct("doc_id", (F.size("findings") > 0).alias("changed"))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        change["n_chars"] = F.when(F.size("findings") > 0, F.char_length("redacted").cast(kind)).otherwise(F.col("n_chars"))
-    return found.withColumns(change).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("doc_id.changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document in the mix of sources."""
+    """Copies of each document in the mix of sources; null sources are one source, texts without words get none."""
     return mixing.mix_sources(spark, docs)
 
 
