@@ -26,6 +26,10 @@ def test_partial_aggregation_before_one_shuffle(spark):
     assert found["HashAggregate"] == 2 and found["Exchange"] == 1
 
 
+def test_salted_sum_reads_what_it_sums(spark):
+    assert set(read_schemas(plan(spark, "agg_salted_hot_key"))[0]) == {"l_returnflag", "l_quantity"}
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     assert operators(plan(spark, "top_k_per_group"))["WindowGroupLimit"] == 2
     assert operators(plan(spark, "sort_limit"))["TakeOrderedAndProject"] == 1
@@ -63,6 +67,57 @@ def test_interval_join_against_pairs(spark):
     assert got == want
 
 
+def test_interval_join_to_the_microsecond(spark):
+    base = datetime.datetime(1969, 12, 31, 23, 59, 50)  # cells of times before 1970 too
+    at = lambda s: base + datetime.timedelta(seconds=s)
+    left = spark.createDataFrame([(1, 1, at(0.9)), (2, 1, at(8))], "id int, k int, ts timestamp_ntz")
+    right = spark.createDataFrame([(11, 1, at(1.6)), (12, 1, at(5.9)), (13, 1, at(6.3)), (14, 1, at(0.9)), (15, 1, at(13.0)), (16, 1, at(13.000001))], "id int, k int, ts timestamp_ntz")
+    got = {(x.l_id, x.r_id) for x in R.interval_join(left, right, ["k"], "ts", 5, ["id"], ["id"]).collect()}
+    assert got == {(1, 11), (1, 12), (2, 15)}
+
+
+def test_as_of_over_many_cells_of_one_key(spark):
+    import random
+
+    r = random.Random(3)
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, r.choice(["hot"] * 9 + ["b", None]), base + datetime.timedelta(seconds=r.randrange(40_000)), r.random() < 0.3, r.choice([1.0, 2.0, None])) for i in range(400)]
+    d = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, l boolean, v double")
+    got = {x.id: x.last for x in R.as_of(d.where("l").select("id", "k", "ts"), d.where("not l"), "k", "ts", "v", "last", "id", cell=600).collect()}
+    for i, k, ts, l, _ in rows:
+        if l:
+            before = [(x[2], x[0], x[4]) for x in rows if not x[3] and x[1] == k and x[4] is not None and (x[2], x[0]) < (ts, i)]
+            assert got[i] == (max(before)[2] if before else None)
+
+
+def test_containment_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a cat sat"), (2, "dog"), (3, None), (4, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "cat"), (2, "a"), (3, ""), (4, None), (5, "dog"), (6, "dogs")], "item_id int, text string")
+    for most in (10_000, 1):
+        monkeypatch.setattr(R, "ITEMS", most)
+        assert sorted(map(tuple, R.containment_join(docs, items, ["doc_id"], ["item_id"]).collect())) == [(1, 1), (1, 2), (2, 5)]
+
+
+def test_nearest_with_more_queries_than_are_broadcast(spark, monkeypatch):
+    from tidewell.operators import vectors as V
+
+    d = spark.range(300).selectExpr("id as vec_id", "array(cast(sin(id) as float), cast(cos(id * 3) as float)) as embedding")
+    q = d.where("vec_id % 20 = 0")
+    want = sorted(map(tuple, V.nearest(q, d, 4).select("query_id", "vec_id", "similarity").collect()))
+    monkeypatch.setattr(V, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(V, "SHARDS", 5)
+    few = V.nearest(q, d, 4, block=4)
+    assert sorted(map(tuple, few.select("query_id", "vec_id", "similarity").collect())) == want and len(want) == 60
+    assert not operators(few)["BroadcastNestedLoopJoin"]
+
+
+def test_not_in_with_nulls_gives_nothing(spark):
+    spark.createDataFrame([(1,), (2,)], "a int").createOrReplaceTempView("na_left")
+    spark.createDataFrame([(1,), (None,)], "b int").createOrReplaceTempView("na_right")
+    assert spark.sql("SELECT a FROM na_left WHERE a NOT IN (SELECT b FROM na_right)").count() == 0
+    assert spark.sql("SELECT a FROM na_left WHERE a NOT IN (SELECT b FROM na_right WHERE b IS NOT NULL)").count() == 1
+
+
 def test_salted_sum_equals_plain(spark):
     d = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("decimal(18,4)").alias("v"))
     assert {(x.k, x.s) for x in R.salted_sum(d, "k", F.col("v"), "s").collect()} == {(x.k, x.s) for x in d.groupBy("k").agg(F.sum("v").alias("s")).collect()}

@@ -1,40 +1,77 @@
-"""Joins, aggregation, grouping sets, set operations, sorting: thin forms over DataFrames."""
+"""Joins over time, text containment, sums of hot keys, top-k by group, unpivot."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Items (of ITEM_BYTES in all) that meet every document in one pass of a containment join.
+ITEMS, ITEM_BYTES = 10_000, 32 << 20
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, tie: str) -> DataFrame:
-    """For each left row, the latest right value of the same key strictly before it in (at, tie).
 
-    Both sides are merged by key in time order and the last right value is carried on, so the
-    cost is one shuffle by key and one sort; no pair of rows is ever built.
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _cell(micros: Column, width: int) -> Column:
+    """The cell of `width` microseconds, in whole numbers, that a time lies in."""
+    return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("long")
+
+
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, tie: str, cell: int = 86_400) -> DataFrame:
+    """For each left row, the latest non-null right value of the same key strictly before it in (at, tie).
+
+    Both sides are merged in time order and the last right value is carried on; no pair of rows
+    is ever built. A key is cut into cells of `cell` seconds, so a hot one fills many tasks: rows are
+    merged within their cell, and what a cell ends with goes to the key's later cells, one row a
+    cell. Null keys match each other; left columns keep their names.
     """
-    l = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(1))
+    kind = right.schema[value].dataType
+    l = left.withColumn("_v", F.lit(None).cast(kind)).withColumn("_left", F.lit(1))
     r = right.select(by, at, tie, F.col(value).alias("_v")).withColumn("_left", F.lit(0))
-    w = Window.partitionBy(by).orderBy(at, tie, F.col("_left").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_left = 1").drop("_v", "_left")
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_cell", _cell(_micros(F.col(at)), cell * 1_000_000))
+    w = Window.partitionBy(by, "_cell").orderBy(at, tie, F.col("_left").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_left = 1")
+    ends = both.groupBy(F.col(by).alias("_by"), F.col("_cell").alias("_c")).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(at, tie, "_v"))).alias("_end"))
+    earlier = Window.partitionBy("_by").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_by", "_c", F.last("_end", ignorenulls=True).over(earlier)["_v"].alias("_before")).where("_before is not null")
+    met = within.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_cell") == F.col("_c")), "left")
+    return met.withColumn(out, F.coalesce("_in", "_before")).select(*left.columns, out)
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, width: int, left_cols: list[str], right_cols: list[str]) -> DataFrame:
-    """Pairs of equal keys whose times are within (0, width] seconds, by time cells.
+def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, width: float, left_cols: list[str], right_cols: list[str]) -> DataFrame:
+    """Pairs of equal keys whose times are within (0, width] seconds, to the microsecond, by time cells.
 
     The right side is dealt to its cell and the one before it, so each pair meets in one
     equi-join key and no key's rows meet all others.
     """
-    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    l = left.select(*key, *[F.col(c).alias(f"l_{c}") for c in left_cols], second(at).alias("_lt")).withColumn("_cell", F.floor(F.col("_lt") / width))
-    r = right.select(*key, *[F.col(c).alias(f"r_{c}") for c in right_cols], second(at).alias("_rt"))
-    r = r.withColumn("_cell", F.explode(F.array(F.floor(F.col("_rt") / width) - 1, F.floor(F.col("_rt") / width))))
-    return l.join(r, [*key, "_cell"]).where("_rt > _lt and _rt <= _lt + " + str(width)).drop("_cell", "_lt", "_rt")
+    span = round(width * 1_000_000)
+    l = left.select(*key, *[F.col(c).alias(f"l_{c}") for c in left_cols], _micros(F.col(at)).alias("_lt")).withColumn("_cell", _cell(F.col("_lt"), span))
+    r = right.select(*key, *[F.col(c).alias(f"r_{c}") for c in right_cols], _micros(F.col(at)).alias("_rt")).withColumn("_cell", _cell(F.col("_rt"), span))
+    r = r.withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"))))
+    return l.join(r, [*key, "_cell"]).where(f"_rt > _lt and _rt <= _lt + {span}").drop("_cell", "_lt", "_rt")
+
+
+def containment_join(docs: DataFrame, items: DataFrame, doc_cols: list[str], item_cols: list[str], text: str = "text") -> DataFrame:
+    """Pairs of a document and an item whose whole text, not empty, occurs in the document's.
+
+    A theta join: items meet every document, but only as a broadcast of counted size; more items
+    than that go in blocks, each a pass over the documents.
+    """
+    i = items.where(F.length(text) > 0).select(*item_cols, F.col(text).alias("_item"))
+    n = i.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_item")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-n.n // ITEMS), -(-n.bytes // ITEM_BYTES))
+    out = None
+    for b in range(blocks):
+        part = i if blocks == 1 else i.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b)
+        met = docs.join(F.broadcast(part), F.contains(docs[text], part["_item"])).select(*doc_cols, *item_cols)
+        out = met if out is None else out.union(met)
+    return out
 
 
 def salted_sum(df: DataFrame, key: str, value: Column, out: str, salts: int = 16) -> DataFrame:
-    """Sum by key in two steps, hot keys spread over `salts` groups first."""
-    first = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(key, "_salt").agg(F.sum(value).alias("_part"))
+    """Sum by key in two steps, hot keys spread over `salts` groups first, whatever the rows hold."""
+    first = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(key, "_salt").agg(F.sum(value).alias("_part"))
     return first.groupBy(key).agg(F.sum("_part").alias(out))
 
 

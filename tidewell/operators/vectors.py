@@ -10,15 +10,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are broadcast (of some hundred numbers each); more are dealt with the rows.
+BROADCAST_QUERIES = 20_000
+SHARDS = 64
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """The k rows of largest dot product for each query; (vec_id, embedding) on both sides.
 
-    Queries are a stated set, held as arrays of at most `block` vectors that meet every row
-    once; each task keeps k rows a query before the shuffle (WindowGroupLimit).
+    Queries are a stated set, held as arrays of at most about `block` vectors that meet every row
+    once; each task keeps k rows a query before the shuffle (WindowGroupLimit). Few queries,
+    counted before, are broadcast; more meet the rows by an equi-join of query blocks and
+    shards of rows, so that no task holds more than a block and a shard.
     """
-    ranked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).withColumn("block", F.floor(F.col("query_id") / block))
-    blocks = ranked.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    met = rows.select("vec_id", "embedding").join(F.broadcast(blocks), F.lit(True)).select("vec_id", "embedding", F.explode("qs").alias("q"))
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    dealt = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    held = dealt.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
+    if n <= BROADCAST_QUERIES:
+        met = rows.select("vec_id", "embedding").join(F.broadcast(held), F.lit(True))
+    else:
+        held = held.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+        every = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(SHARDS)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        met = every.join(held.hint("shuffle_hash"), ["block", "shard"])
+    met = met.select("vec_id", "embedding", F.explode("qs").alias("q"))
     scored = met.select("q.query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q.query")), 6).alias("similarity")).where("query_id <> vec_id")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,8 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewell-out-")
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder for the process; a cluster gets an
+    error, as each executor would write to its own disk.
+    """
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = getattr(sc, "_tidewell_scratch", None)
+        if own is None:
+            own = sc._tidewell_scratch = tempfile.mkdtemp(prefix="tidewell-out-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -6,26 +6,25 @@ shared folder, and ends by itself (availableNow).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.formats import scratch
 
-def _place(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewell-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream, with ts as a watermarkable timestamp."""
+def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet file or folder as a stream, with ts as a watermarkable timestamp; files: most of them a micro-batch."""
     schema = spark.read.parquet(path).schema
     parent, _, name = path.rstrip("/").rpartition("/")
-    df = spark.readStream.schema(schema).option("pathGlobFilter", name if not _folder(spark, path) else "*").parquet(path if _folder(spark, path) else parent)
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = _folder(spark, path)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*" if folder else name)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path if folder else parent).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark: SparkSession, path: str) -> bool:
@@ -33,42 +32,72 @@ def _folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def drain(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Run to the end of the available input; append results as Parquet, others by last batch or key."""
-    at = _place(spark)
+def drain(spark: SparkSession, df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run to the end of the available input and return the result as Parquet.
+
+    append: all rows. complete: the last micro-batch's. update: of each key the row of the last
+    micro-batch that has one; each micro-batch writes a folder of its own, so one that runs
+    again after a failure writes over itself.
+    """
+    at = scratch(spark)
     if mode == "append":
-        q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{at}/out")
-    keep: Callable = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out")
-    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/out")
+    out = (lambda n: f"{at}/out/batch={n}") if mode == "update" else (lambda n: f"{at}/out")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(out(n))
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{at}/out")
+    if not keys:
+        raise ValueError("update mode needs the keys of a row")
+    every = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/out")
+    rest = [c for c in df.columns if c not in keys]
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*df.columns)
 
 
-def hourly(spark: SparkSession, path: str) -> DataFrame:
-    """Events and users an hour, complete mode."""
-    s = source(spark, path).withWatermark("ts", "10 minutes")
+def hourly(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Events an hour and type, update mode: the watermark frees the hours it has passed, and rows later than it are dropped."""
+    s = source(spark, path, files).withWatermark("ts", "10 minutes")
     w = s.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return drain(spark, w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"), "complete")
+    return drain(spark, w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"), "update", ["window_start", "event_type"])
+
+
+def late_rows_dropped(spark: SparkSession, path: str) -> DataFrame:
+    """hourly() over a stream whose first half arrives last: what the second half's watermark has passed is dropped.
 
+    Spark drops by the watermark that held one micro-batch before, so the latest rows come between the halves.
+    """
+    rows = spark.read.parquet(path)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    cut = low + (high - low) // 2
+    at = scratch(spark)
+    for part in (rows.where((micros >= cut) & (micros < high)), rows.where(micros == high), rows.where(micros < cut)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/events")
+    return hourly(spark, f"{at}/events", 1)
 
-def distinct_events(spark: SparkSession, path: str) -> DataFrame:
+
+def distinct_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """Events without repeats of (user, type, id) while the watermark holds them."""
-    s = source(spark, path).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    s = source(spark, path, files).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
     return drain(spark, s.select("event_id", "user_id", "event_type"), "append")
 
 
-def user_sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> DataFrame:
+def user_sessions(spark: SparkSession, path: str, gap: str = "30 minutes", files: int | None = None) -> DataFrame:
     """Sessions that the watermark has closed, append mode."""
-    s = source(spark, path).withWatermark("ts", "10 minutes")
+    s = source(spark, path, files).withWatermark("ts", "10 minutes")
     w = s.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return drain(spark, w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n"), "append")
 
 
-def all_sessions(spark: SparkSession, path: str, gap: str = "30 minutes") -> DataFrame:
+def all_sessions(spark: SparkSession, path: str, gap: str = "30 minutes", files: int | None = None) -> DataFrame:
     """Sessions with those still open at the stream's end, complete mode."""
-    s = source(spark, path).withWatermark("ts", "10 minutes")
+    s = source(spark, path, files).withWatermark("ts", "10 minutes")
     w = s.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return drain(spark, w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n"), "complete")
 
@@ -99,8 +128,8 @@ def _count(key, pdfs, state):
     yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 
 
-def user_totals(spark: SparkSession, path: str) -> DataFrame:
+def user_totals(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """Own state: a running count of each user's events, the last value of each."""
-    s = source(spark, path)
+    s = source(spark, path, files)
     counted = s.groupBy("user_id").applyInPandasWithState(_count, "user_id long, n long", "n long", "update", "NoTimeout")
-    return drain(spark, counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    return drain(spark, counted, "update", ["user_id"])
