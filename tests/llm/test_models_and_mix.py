@@ -406,6 +406,39 @@ def test_rounding_keeps_expectations(spark):
     assert all(abs(mass[i] - 0.3) < 0.05 for i in (1, 2, 3, 4)), dict(mass)
 
 
+def test_mix_takes_documents_about_as_often_as_wanted(spark):
+    """The same documents in many sources: how often each is taken against its share, the balancing step included."""
+    from tidewell.llm.mixing import mix_sources
+
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89] * 3
+    n = 450
+    rows = [(1000 * s + k, " ".join(["w"] * size), "en", f"s{s:04}", 0) for s in range(n) for k, size in enumerate(sizes)]
+    total = sum(sizes)
+    off, left = defaultdict(list), []
+    by = defaultdict(int)
+    for x in mix_sources(spark, spark.createDataFrame(rows, DOC), group=16).collect():
+        off[x.size].append(x.copies - x.target / x.source_size)
+        by[x.source, x.target] += x.taken
+    left = [abs(taken - target) / total for (_, target), taken in by.items()]
+    shift = {size: float(np.mean(v)) for size, v in off.items()}
+    print(shift, max(left))
+    assert max(map(abs, shift.values())) < 0.08 and np.mean(left) < 0.01
+
+
+def test_clean_deletes_workspaces(spark):
+    from tidewell.llm._shared import Workspace, clean
+
+    kept, Workspace.made = Workspace.made, []
+    try:
+        ws = Workspace(spark, "test")
+        ws.put(spark.range(3), "t")
+        assert ws.exists("t")
+        clean()
+        assert not ws.exists("t") and not Workspace.made
+    finally:
+        Workspace.made = kept
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -170,15 +170,23 @@ def test_sketch_distance_bounds_difference():
 
     r = random.Random(1)
     a = [f"w{i}" for i in range(200)]
-    b = list(a)
-    for _ in range(8):
-        b[r.randrange(200)] = "zz"
-    for _, _, w in K.words_of(pa.array([" ".join(a), " ".join(b)]), K.SPACES, True):
+    texts = [" ".join(a)]
+    for changes in (3, 8, 30, 120):
+        b = list(a)
+        for i in r.sample(range(200), changes):
+            b[i] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(b[: 200 - changes // 4]))
+    for _, _, w in K.words_of(pa.array(texts), K.SPACES, True):
         s = J.Sets(w, 5)
-        x, y = s.sketch(75)
-        far = int(np.bitwise_count(J._fold(x, min(len(x), len(y))) ^ J._fold(y, min(len(x), len(y)))).sum())
-        one, two = set(s.hash[: s.at[1]].tolist()), set(s.hash[s.at[1] :].tolist())
-        assert 0 < far <= len(one ^ two)
+        sets = [set(s.hash[x:y].tolist()) for x, y in zip(s.at[:-1], s.at[1:], strict=True)]
+        sketches = J.Sketches(pa.array(s.sketch(75), pa.binary()), s.n, 75)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+        near, share = sketches.near(i, j)
+        for p, f in zip(near.tolist(), share.tolist(), strict=True):
+            x, y = sets[i[p]], sets[j[p]]
+            assert round(f * (len(x) + len(y))) <= len(x ^ y)
+        out = set(range(len(i))) - set(near.tolist())
+        assert out and all(4 * len(sets[i[p]] & sets[j[p]]) < 3 * len(sets[i[p]] | sets[j[p]]) for p in out)
 
 
 def brute_contamination(texts, items):

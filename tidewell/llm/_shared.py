@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """A folder of its own in the shared folder, for tables that cut lineage.
 
-    Tables are plain Parquet, so a lost executor costs nothing but a reread.
+    Tables are plain Parquet, so a lost executor costs nothing but a reread. Results read them
+    lazily, so they stay until the process ends or, in a long session, clean() is called.
     """
 
+    made: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.remove)
+        if not Workspace.made:
+            atexit.register(clean)
+        Workspace.made.append(self)
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> Workspace:
@@ -69,7 +75,7 @@ class Workspace:
             self._delete(f"{self.path}/{name}")
 
     def remove(self) -> None:
-        """Delete the whole workspace, at the end of the process."""
+        """Delete the whole workspace."""
         try:
             self._delete(self.path)
         except Exception:  # the session is already gone; the folder is named for cleaning
@@ -84,6 +90,12 @@ class Workspace:
         fs.delete(p, True)
 
 
+def clean() -> None:
+    """Delete all workspaces; for when no result of an operator is read any more."""
+    while Workspace.made:
+        Workspace.made.pop().remove()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps while a long operator goes on."""
     import gc

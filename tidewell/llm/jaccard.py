@@ -308,27 +308,6 @@ def _packed_sets(words: int):
     return K.lean(run)
 
 
-def _fold(sketch: bytes, size: int) -> np.ndarray:
-    """A sketch as `size` bytes: bit i is hash mod the number of bits, so halves fold by XOR."""
-    x = np.frombuffer(sketch, dtype=np.uint8)
-    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
-
-
-def _near(percent: int):
-    """Pairs whose sketches do not rule a link out."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
-                size = min(len(x), len(y))
-                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-                keep.append(apart <= differ(na + nb, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return K.lean(run)
-
-
 class Sketches:
     """The sketches of some sets, by length, and how far pairs of them are apart."""
 
@@ -379,6 +358,21 @@ class Sketches:
         return np.concatenate(places), np.concatenate(apart)
 
 
+def _near(percent: int):
+    """Pairs whose sketches do not rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.arange(batch.num_rows)
+            n = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            both = Sketches(pa.concat_arrays([batch.column("xa"), batch.column("xb")]), n, percent)
+            keep = np.zeros(len(at), dtype=bool)
+            keep[both.near(at, at + len(at))[0]] = True
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return K.lean(run)
+
+
 #: Members of a key up to which all its pairs are listed at once, together with those of other keys.
 FEW = 32
 
