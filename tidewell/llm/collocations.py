@@ -232,7 +232,7 @@ class _Held:
         if new.any():
             some = at[where[new]]
             self.texts.append((x[new], [langs[first + d] for d in g.doc[some].tolist()], _phrases(g.words, some, k), k))
-            self.known = np.union1d(self.known, x[new])
+            self.known = np.sort(np.concatenate([self.known, x[new]]))
 
     def give(self):
         if self.rows:

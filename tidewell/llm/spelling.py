@@ -160,8 +160,8 @@ WITH RECURSIVE t AS (
   SELECT x, count(*) AS n_near, arg_min(y, struct_pack(less := -w.n, y := y)) AS best, max(w.n) AS m FROM p JOIN w ON y = w.word GROUP BY x
 ), f AS (
   SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN best END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN q ON x = word
-), c(word, at) AS (
-  SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL
+), c(word, here) AS (
+  SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL
 )
-SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at AND e.form IS NULL
+SELECT f.word, f.form, c.here AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.here AND e.form IS NULL
 """
