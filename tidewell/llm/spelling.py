@@ -7,7 +7,9 @@ three rarest of the other word too (all occurrences of the third bigram count, i
 The surviving occurrence lies wholly before the edit or wholly behind it. So the limit on its
 position can be kept in the join's key: either it stands at the same place from the start and
 all up to it is equal, or at the same place from the end and all from it on is equal. Words are
-joined on that key and the length, a shorter word also with the next length, and verified by their edit distance.
+joined on that key and the length, a shorter word also with the next length. What meets is verified: first
+by two marks of 64 bits, of its letters and of its bigrams, in which words one edit apart differ by at most two and four
+bits, then by the edit distance.
 
 Keys are 64-bit hashes; a collision only adds a pair that verification drops. A key of more
 than BLOCK words is dealt into blocks of its right side, each met by a copy of the left
@@ -46,35 +48,46 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _prefixes(words: DataFrame) -> DataFrame:
-    """(word, n, at): places, from 1, of the PREFIX rarest bigrams of each word, all of the last one's."""
-    each = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    """(word, n, letters, pairs, at): places, from 1, of the PREFIX rarest bigrams of each word, all of the last one's."""
+    own = ["word", "n", "letters", "pairs"]
+    each = words.select(*own, F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
     each = each.withColumn("gram", F.substr("word", F.col("at"), F.lit(2)))
     # at most 90 letters and so 8,100 bigrams
     often = each.groupBy("gram").agg(F.count("*").alias("often"))
-    sized = each.join(F.broadcast(often), "gram").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))).alias("grams"))
+    sized = each.join(F.broadcast(often), "gram").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))).alias("grams"))
     last = F.get("grams", F.lit(PREFIX - 1))
     known = F.filter("grams", lambda x: (x["often"] < last["often"]) | ((x["often"] == last["often"]) & (x["gram"] <= last["gram"])))
-    return sized.select("word", "n", F.explode(known["at"]).alias("at"))
+    return sized.select(*own, F.explode(known["at"]).alias("at"))
+
+
+def marked(words: DataFrame) -> DataFrame:
+    """words with 64-bit marks of the letters and of the bigrams in each."""
+    letters = "aggregate(sequence(1, length(word)), 0L, (m, i) -> m | shiftleft(1L, ascii(substr(word, i, 1)) % 64))"
+    pairs = "aggregate(sequence(1, length(word) - 1), 0L, (m, i) -> m | shiftleft(1L, pmod(hash(substr(word, i, 2)), 64)))"
+    return words.withColumn("letters", F.expr(letters)).withColumn("pairs", F.expr(pairs))
 
 
 def near_words(spark: SparkSession, words: DataFrame, ws: Workspace) -> DataFrame:
     """(word, n, other, m): all pairs of words one edit apart, each in both directions, once."""
-    p = _prefixes(words)
+    p = _prefixes(ws.put(marked(words), "marked"))
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.substr("word", F.lit(1), F.col("at") + 1).alias("equal")),
         F.struct(F.lit(1).alias("side"), F.substr("word", F.col("at")).alias("equal")),
     )
-    keys = p.select("word", "n", F.length("word").alias("len"), F.explode(sides).alias("s")).select("word", "n", "len", "s.side", "s.equal")
+    own = ["word", "n", "letters", "pairs"]
+    keys = p.select(*own, F.length("word").alias("len"), F.explode(sides).alias("s")).select(*own, "len", "s.side", "s.equal")
     key = lambda length: F.xxhash64("side", "equal", length)
-    right = ws.put(keys.select(key(F.col("len")).alias("key"), F.col("word").alias("other"), F.col("n").alias("m")), "keys")
-    left = keys.select("word", "n", "side", "equal", F.explode(F.array(F.col("len"), F.col("len") + 1)).alias("to")).select(key(F.col("to")).alias("key"), "word", "n")
+    right = ws.put(keys.select(key(F.col("len")).alias("key"), F.col("word").alias("other"), F.col("n").alias("m"), F.col("letters").alias("letters2"), F.col("pairs").alias("pairs2")), "keys")
+    left = keys.select(*own, "side", "equal", F.explode(F.array(F.col("len"), F.col("len") + 1)).alias("to")).select(key(F.col("to")).alias("key"), *own)
     hot = ws.put(right.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "hot")
     few = hot.count() <= BROADCAST_KEYS
     dealt = lambda d: d.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     right = dealt(right).withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int")).drop("blocks")
     left = dealt(left).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     longer = F.length("other") > F.length("word")
-    met = left.join(right, ["key", "block"]).where((longer | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    like = (apart("letters", "letters2") <= 2) & (apart("pairs", "pairs2") <= 4)
+    met = left.join(right, ["key", "block"]).where(like & (longer | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
     pairs = met.select("word", "n", "other", "m").distinct()
     both = F.array(F.struct("word", "n", "other", "m"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")
@@ -118,7 +131,7 @@ def spelling_variants(
     near = near_words(spark, words, ws).groupBy("word", "n").agg(F.count("*").alias("n_near"), best.alias("best"))
     form = -F.col("best.less") >= ratio * F.col("n")
     near = ws.put(near.select("word", "n_near", F.when(form, F.col("best.other")).alias("form"), F.when(form, -F.col("best.less")).alias("form_n")), "near")
-    ws.drop("keys", "hot")
+    ws.drop("keys", "hot", "marked")
     last = roots(spark, near.where("form is not null"), ws)
     out = words.join(near, "word", "left").join(last, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))
