@@ -57,6 +57,37 @@ def test_records_with_other_fields_are_told_by_those_they_need(spark):
     assert all(x._v == x.i for x in got.values()) and [x.n for x in unmapped(turns).collect()] == [2, 1]
 
 
+def test_content_in_parts_and_tool_calls(spark):
+    """Parts of text become text; what would have to be JSON has no layout."""
+    import json
+
+    from tidewell.llm.chat import canonical_turns, unmapped
+
+    user = lambda c: {"messages": [{"role": "user", "content": c}, {"role": "assistant", "content": "ok"}]}
+    records = [
+        user([{"type": "text", "text": "hi"}]),
+        user([{"type": "text", "text": "a {b}"}, "c", {"text": "d"}]),
+        user([{"type": "text", "text": "see"}, {"type": "image_url", "image_url": {"url": "u"}}]),
+        user({"k": 1}),
+        {"prompt": ["one", "two"], "response": "r"},
+        {"prompt": [{"role": "user", "content": "x"}], "response": "r"},
+        {"system": {"a": 1}, "prompt": "p", "response": "r"},
+        {"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": "1", "function": {"name": "f", "arguments": "{}"}}]}]},
+        {"messages": [{"role": "assistant", "content": "x", "tool_calls": None}, {"role": "user", "content": 7}]},
+        user([]),
+    ]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, r string")
+    out = canonical_turns(d, d.r)
+    got = {x.i: (x.layout, [(t.role, t.text) for t in x.turns] if x.turns is not None else None) for x in out.collect()}
+    assert got[0] == ("messages", [("user", "hi"), ("assistant", "ok")])
+    assert got[1] == ("messages", [("user", "a {b}\nc\nd"), ("assistant", "ok")])
+    assert got[4] == ("prompt", [("user", "one\ntwo"), ("assistant", "r")])
+    assert got[8] == ("messages", [("assistant", "x"), ("user", "7")])
+    assert got[9] == ("messages", [("user", ""), ("assistant", "ok")])
+    assert all(got[i] == (None, None) for i in (2, 3, 5, 6, 7))
+    assert sum(x.n for x in unmapped(out).collect()) == 5
+
+
 def test_escaping_is_reversible(spark):
     from tidewell.llm.chat import TURN, Template
 

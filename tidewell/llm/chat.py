@@ -29,6 +29,8 @@ class Layout:
     needs, may: field paths, `a[].b` for fields of array elements. turns: (role, path) pairs
     in order, joined where paths of one turn are given as a tuple; or each: (array path, role
     field, text field). roles: source role to canonical role; others stay as they are.
+    parts: kinds of content parts whose `text` belongs to a turn's text. refuses: fields of a message
+    that no turn can hold; a record with one of them has no layout.
     """
 
     name: str
@@ -38,6 +40,8 @@ class Layout:
     each: tuple[str, str, str] | None = None
     before: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
+    parts: tuple[str, ...] = ("text", "input_text", "output_text")
+    refuses: tuple[str, ...] = ("tool_calls", "function_call")
 
     def shapes(self) -> list[str]:
         """The schemas, written as fingerprint() writes them, that this layout answers to."""
@@ -95,32 +99,58 @@ def _path(p: str) -> str:
     return "$." + p
 
 
+def _text(layout: Layout, c: Column) -> tuple[Column, Column]:
+    """(text, whether it is none) of a variant: a scalar is its text, a list the lines of its parts.
+
+    A part is a string, or an object whose `type` is one of the layout's parts and whose `text` is a string.
+    Anything else would have to be written as JSON and is no text.
+    """
+    kind, whole = F.schema_of_variant(c), F.try_variant_get(c, "$", "array<variant>")
+
+    def part(p: Column) -> Column:
+        of, said = F.schema_of_variant(p), F.schema_of_variant(F.try_variant_get(p, "$.text", "variant"))
+        named = F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit(layout.parts[0])).isin(list(layout.parts))
+        return F.when(of == "STRING", F.try_variant_get(p, "$", "string")).when(of.startswith("OBJECT") & (said == "STRING") & named, F.try_variant_get(p, "$.text", "string"))
+
+    many = kind.startswith("ARRAY")
+    bad = F.when(many, F.exists(whole, lambda p: part(p).isNull())).otherwise(kind.startswith("OBJECT"))
+    text = F.when(many, F.array_join(F.transform(whole, part), "\n")).otherwise(F.try_variant_get(c, "$", "string"))
+    return text, F.coalesce(bad, F.lit(False))
+
+
 def _mapped(layout: Layout, v: Column) -> Column:
-    get = lambda p: F.try_variant_get(v, _path(p), "string")
+    """The turns of a record, each with whether its text is none."""
+    kind = "array<struct<role:string,text:string,bad:boolean>>"
+    get = lambda p: _text(layout, F.try_variant_get(v, _path(p), "variant"))
 
-    def turn(role: Column, text: Column) -> Column:
-        return F.struct(role.alias("role"), text.alias("text"))
+    def turn(role: Column, text: Column, bad: Column) -> Column:
+        return F.struct(role.alias("role"), text.alias("text"), bad.alias("bad"))
 
     def one(role: str, paths: str | tuple[str, ...]) -> Column:
         if isinstance(paths, str):
-            return turn(F.lit(role), get(paths))
-        return turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(get(p), F.lit("")) for p in paths)))
+            return turn(F.lit(role), *get(paths))
+        said = [get(p) for p in paths]
+        return turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(t, F.lit("")) for t, _ in said)), F.greatest(*(b for _, b in said)))
 
     fixed = [one(r, p) for r, p in (layout.turns or layout.before)]
     # a fixed turn whose optional field is missing or empty is no turn
-    optional = set(layout.may)
-    fixed = F.filter(F.array(*fixed), lambda t: (t["text"].isNotNull() & (t["text"] != "")) | ~t["role"].isin([r for r, p in (layout.turns or layout.before) if p in optional] or [""])) if fixed else F.array().cast(f"array<{TURN}>")
+    optional = [r for r, p in (layout.turns or layout.before) if p in set(layout.may)]
+    fixed = F.filter(F.array(*fixed), lambda t: t["bad"] | (t["text"].isNotNull() & (t["text"] != "")) | ~t["role"].isin(optional or [""])) if fixed else F.array().cast(kind)
     if not layout.each:
-        return fixed.cast(f"array<{TURN}>")
+        return fixed.cast(kind)
     array, role, text = layout.each
-    items = F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: string>>")
+    item = f"struct<`{role}`: string, `{text}`: variant" + "".join(f", `{x}`: variant" for x in layout.refuses) + ">"
+    items = F.try_variant_get(v, _path(array), f"array<{item}>")
     names = F.create_map(*(F.lit(x) for pair in layout.roles.items() for x in pair)) if layout.roles else None
 
     def canonical(x: Column) -> Column:
         r = F.coalesce(x[role], F.lit(""))
-        return turn(F.coalesce(names[r], r) if names is not None else r, x[text])
+        said, bad = _text(layout, x[text])
+        for name in layout.refuses:
+            bad = bad | F.coalesce(F.schema_of_variant(x[name]) != "VOID", F.lit(False))
+        return turn(F.coalesce(names[r], r) if names is not None else r, said, bad)
 
-    return F.concat(fixed.cast(f"array<{TURN}>"), F.transform(F.coalesce(items, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), canonical).cast(f"array<{TURN}>"))
+    return F.concat(fixed.cast(kind), F.coalesce(F.transform(items, canonical).cast(kind), F.array().cast(kind)))
 
 
 def _has(layout: Layout, v: Column) -> Column:
@@ -128,7 +158,7 @@ def _has(layout: Layout, v: Column) -> Column:
     found = [F.try_variant_get(v, _path(p), "variant").isNotNull() for p in layout.needs if "[]" not in p]
     if layout.each:
         array, role, text = layout.each
-        items = F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: string>>")
+        items = F.try_variant_get(v, _path(array), f"array<struct<`{role}`: string, `{text}`: variant>>")
         found.append(items.isNotNull() & F.exists(items, lambda x: x[role].isNotNull()) & F.exists(items, lambda x: x[text].isNotNull()))
     out = found[0]
     for x in found[1:]:
@@ -142,7 +172,8 @@ def canonical_turns(docs: DataFrame, record: Column, layouts: tuple[Layout, ...]
     record: JSON text, a struct, or a variant. Defined cases: null records and text that is
     no JSON, and records without the fields that some layout needs, have null layout and turns
     (unmapped() counts them by fingerprint); null texts and roles become empty; an empty list of
-    messages gives no turns; columns named like a result are replaced, others may have any name.
+    messages gives no turns; content in parts becomes the parts' texts, a line each; a record with a part of
+    another kind, an object where text should be, or a tool call has no layout, so no turn is ever JSON; columns named like a result are replaced, others may have any name.
     One record may not exceed what a variant holds, 128 MB.
     """
     kind = docs.select(record.alias("r")).schema["r"].dataType.simpleString()
@@ -154,14 +185,16 @@ def canonical_turns(docs: DataFrame, record: Column, layouts: tuple[Layout, ...]
     v = unused(docs, "v")
     own = [F.col(f"`{c}`") for c in keep]
     d = docs.select(*own, record.alias(v)).withColumn("fingerprint", fingerprint(F.col(v)))
-    listed, near, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
+    listed, near, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string,bad:boolean>>")
     for x in reversed(layouts):
         listed = F.when(F.col("fingerprint").isin([F.xxhash64(F.lit(s)) for s in x.shapes()]), F.lit(x.name)).otherwise(listed)  # folded to constants
         near = F.when(_has(x, F.col(v)), F.lit(x.name)).otherwise(near)
         turns = F.when(F.col("layout") == x.name, _mapped(x, F.col(v))).otherwise(turns)
     d = d.withColumn("layout", F.when(listed.isNotNull(), listed).otherwise(near))
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return d.select(*own, "fingerprint", "layout", clean.cast(f"array<{TURN}>").alias("turns"))
+    d = d.withColumn(v, turns)
+    fits = ~F.coalesce(F.exists(F.col(v), lambda t: t["bad"]), F.lit(False))
+    clean = F.transform(F.col(v), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return d.select(*own, "fingerprint", F.when(fits, F.col("layout")).alias("layout"), F.when(fits, clean.cast(f"array<{TURN}>")).alias("turns"))
 
 
 def unmapped(turns: DataFrame) -> DataFrame:
