@@ -27,6 +27,8 @@ from ._shared import Workspace
 GROUP = 256
 #: Settled documents, one after the other, that balance a source's last remainder.
 PARTNERS = 3
+#: Equal rows that one step writes out again.
+EXPAND = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -110,8 +112,8 @@ def mix_sources(
 
     Defined cases: null and empty texts have size 0, no copies and nothing taken; a null
     source is a source of its own, in the last place; rows that repeat an id are told apart
-    by a hash of source and text, and equal rows are rounded one after the other; a null id is
-    allowed; a source without words has target 0; an empty table gives no rows; other columns are ignored.
+    by a hash of source and text; of n equal rows wanted p times each the whole part of n p is taken and
+    one row goes on with the remainder, however many they are; ids are whole numbers and may be null; a source without words has target 0; an empty table gives no rows; other columns are ignored.
     """
     ws = Workspace(spark, "mixing")
     each = docs.select(
@@ -119,16 +121,22 @@ def mix_sources(
         F.col(source_col).alias("source"),
         words_in(F.col(text_col)).alias("size"),
         F.xxhash64(source_col, text_col).alias("copy"),
-        F.monotonically_increasing_id().alias("rid"),  # only tells equal rows apart
     )
-    each = ws.put(each, "sizes")
-    stats = ws.put(each.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "stats")
+    # equal rows are one from here on, counted in the tasks before they travel
+    each = each.groupBy("doc", "source", "size", "copy").agg(F.count("*").alias("equal"))
+    each = ws.put(each.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    stats = ws.put(each.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("source_size"), F.count("*").alias("n")), "stats")
     targets = ws.put(source_targets(stats.select("source", "source_size"), most), "targets").join(stats.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "weight")
     targets = ws.put(targets, "shares").withColumnRenamed("source", "s2")
     rows = each.join(targets, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("ratio", F.least(ratio, F.lit(float(most)))).withColumn("sure", F.floor("ratio").cast("long"))
     rows = rows.withColumn("id", F.col("doc").cast("long")).withColumn("p", F.col("ratio") - F.col("sure"))
+    # equal rows need no lot: as many as their whole mass are taken, and one carries what is left
+    mass = F.col("p") * F.col("equal")
+    rows = rows.withColumn("once", F.when(F.col("equal") > 1, F.floor(mass + 1e-9)).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("p", F.when(F.col("equal") > 1, F.greatest(mass - F.col("once"), F.lit(0.0))).otherwise(F.col("p")))
+    rows = ws.put(rows, "rows")
 
     largest = stats.agg(F.max("n")).first()[0] or 0
     levels = max(1, math.ceil(math.log(max(2, largest), group)) + 1)
@@ -162,9 +170,13 @@ def mix_sources(
         decided = decided.join(moved, F.col("rid") == F.col("partner"), "left").withColumn("p", F.when(F.col("partner").isNull(), F.col("p")).otherwise(1 - F.col("p"))).drop("partner")
         asked = partner.select("s2", F.when(F.col("best.size") <= F.col("need"), F.col("from")).otherwise(1 - F.col("from")).alias("from"), F.col("best.near").alias("need"))
     decided = decided.union(last.withColumn("p", F.col("up")).select(*decided.columns))
-    whole = rows.where("size = 0 or p <= 0").select(*keys, "size", "id", "copy", "rid", F.lit(0.0).alias("p"))
-    out = decided.union(whole.select(*decided.columns))
-    copies = F.when(F.col("size") > 0, F.col("sure") + F.round("p").cast("long")).otherwise(F.lit(0)).cast("long")
+    lot = decided.where("p > 0.5").select(F.col("rid").alias("r2"), F.lit(1).alias("lot"))
+    out = rows.join(lot, F.col("rid") == F.col("r2"), "left")
+    # the rows that were equal again, some of them taken once more
+    more = F.col("once") + F.coalesce("lot", F.lit(0))
+    out = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("equal") - 1) / EXPAND))))
+    out = out.withColumn("i", F.explode(F.sequence(F.col("block") * EXPAND, F.least(F.col("block") * EXPAND + EXPAND, F.col("equal")) - 1)))
+    copies = F.when(F.col("size") > 0, F.col("sure") + (F.col("i") < more).cast("long")).otherwise(F.lit(0)).cast("long")
     return out.withColumn("copies", copies).select(
         F.col("id").alias(id_col),
         "source",
