@@ -4,8 +4,9 @@ Candidates are private key blocks, passwords in addresses, values that are assig
 like `password`, and long runs of key-like characters. Their features are the candidate's length,
 its character transitions (how much likelier each step from one character to the next is in
 secrets than in look-alikes, by counts over the labelled findings), how much of it dictionary
-words cover (the commonest words of all documents), whether it lies in a path or the document
-in a test or documentation path, and the words before and after it. The forest is fitted on
+words cover (the commonest words of all documents), whether it lies in a path, the path of the
+document, and the words before and after it: how much likelier each word of these is beside secrets than
+beside look-alikes is counted over the labelled findings too. The forest is fitted on
 labelled findings with spark.ml and then written out as one SQL expression of nested conditions,
 so that scanning is a projection: no shuffle, no Python, and a document's candidates stay with
 the document.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,19 +28,20 @@ from ._shared import unused
 # Patterns of candidates and of their surroundings.
 _RUN = "[A-Za-z0-9+/_-]"
 _BLOCK = "PRIVATE KEY(?: BLOCK)?-----"
-_NAMED = "(?:passw(?:or)?d|passwd|pwd|secret|token|credential|api[ _-]?key|access[ _-]?key|auth)"
+_NAMED = "(?:passwor[dt]|passwd|pwd|kennwort|mot de passe|contrase[nñ]a|clave|secret[eo]?|geheimnis|token|jeton|credential|schl(?:ue|ü)ssel|api[ _-]?key|access[ _-]?key|auth)"
 CANDIDATES = {
     # header lines may stand between the first mark and the key
-    "block": rf"-----BEGIN [A-Z ]{{0,30}}{_BLOCK}(?:\s*+[A-Za-z][A-Za-z-]*+:[^\n]*+\n){{0,8}}+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{{0,30}}{_BLOCK}",
+    "block": rf"-----BEGIN [A-Z ]*?{_BLOCK}(?:\s*+[A-Za-z][A-Za-z-]*+:[^\n]*+\n)*+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*?{_BLOCK}",
     # the first lookbehind of each is there to be cheap
-    "address": r"(?<=:)(?<=[a-z]://[^\s/:@]{0,64}:)[^\s/@\x22<>]{3,}+(?=@)",
-    "assigned": rf"(?<=[:=][ \x22\x27`]{{0,3}})(?<=(?i:{_NAMED})[\x22\x27`]?[ ]{{0,2}}[:=][ \x22\x27`]{{0,3}})(?![ \x22\x27`])(?!-----)[^\s\x22\x27`,;<>&]{{6,}}+",
-    "run": rf"(?<!{_RUN})(?:(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{12,}}+|{_RUN}{{20,}}+)={{0,2}}",
+    "address": r"(?<=:)(?<=[a-z]://[^\s/:@]{0,255}:)[^\s/@\x22<>]{3,}+(?=@)",
+    "assigned": rf"(?<=[:=][ \x22\x27`]{{0,3}})(?<=(?i:{_NAMED})[\x22\x27`]?[ ]{{0,2}}[:=][ \x22\x27`]{{0,3}})(?![ \x22\x27`])(?!-----)(?:[^\s\x22\x27`,;<>&]|&(?![A-Za-z_]++=)){{6,}}+",
+    # a sign of equality belongs to a run only where no value follows it
+    "run": rf"(?<!{_RUN})(?:(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{12,}}+|{_RUN}{{20,}}+)(?:={{1,2}}+(?![^\s\x22\x27`,;:<>&)\]}}]))?+",
 }
 CANDIDATE = "|".join(CANDIDATES.values())
 _KNOWN = "^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk-|sk_live_|AIza|eyJ|glpat-|npm_|-----BEGIN)"
 _NO_VALUE = "(?i)(^[$%{(\\[*]|[)}\\]]$|[(]|^(none|null|true|false|undefined)|environ|getenv|process[.]|self[.]|[*]{3})"
-_SECRET_WORD = "(?i)(passw|pwd|secret|token|api.?key|auth|credential|bearer|private.?key|access.?key)"
+_SECRET_WORD = "(?i)(passw|pwd|kennwort|mot de passe|contrase|clave|geheim|jeton|schl(ue|ü)ssel|secret|token|api.?key|auth|credential|bearer|private.?key|access.?key)"
 _HASH_WORD = "(?i)(commit|sha-?[0-9]*|md5|hash|checksum|digest|uuid|guid|revision|version|etag|build|blob|tree|file|page|ref|order|invoice|serial|session)"
 _PLACEHOLDER = "(?i)(x{4,}|0{6,}|1234567|abcdefg|example|changeme|placeholder|your|sample|dummy|redacted|insert|test)"
 _TEST_PATH = "(?i)(test|spec|example|sample|fixture|mock|doc|readme|demo|lock)"
@@ -54,13 +56,15 @@ _WORDS = (
     "master media member menu message method middle mobile model module month more music name native next node normal "
     "note number object offer online open option order other output over page panel parent part path people photo"
 ).split()
+#: Words beside findings whose gains are held, and the least number of findings each stands beside.
+BESIDE, BESIDE_LEAST = 150, 12
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0A-"
 #: Most words of the learned dictionary.
 DICTIONARY = 1000
 
 FEATURES = (
     "length turns digits upper lower hex distinct dictionary transitions vowels secret_word assigned hash_word quoted "
-    "slashes in_path test_path known uuid placeholder no_value address words_before words_after"
+    "slashes in_path test_path known uuid placeholder no_value address words_before words_after before_gain after_gain path_gain"
 ).split()
 
 
@@ -79,7 +83,20 @@ def _steps(c: str) -> str:
     return f"transform(filter(split({plain}, ''), z -> z <> ''), z -> locate(z, '{_LETTERS}') - 1)"
 
 
-def _features(c: str, before: str, after: str, path: str, words: list[str], steps: list[float]) -> dict[str, str]:
+def _beside(text: str) -> str:
+    """SQL of the distinct words of a text beside a finding."""
+    return f"array_distinct(regexp_extract_all(lower({text}), '[a-zà-ÿ]+', 0))"
+
+
+def _gain(text: str, gains: dict[str, float]) -> str:
+    """SQL of the sum of the gains of a text's words."""
+    if not gains:
+        return "0D"
+    table = "map(" + ", ".join(f"{_q(w)}, {g!r}D" for w, g in gains.items()) + ")"
+    return _let("m", table, f"aggregate({_beside(text)}, 0D, (t, w) -> t + coalesce(element_at(m, w), 0D))")
+
+
+def _features(c: str, before: str, after: str, path: str, words: list[str], steps: list[float], beside: dict[str, dict[str, float]]) -> dict[str, str]:
     """SQL of each feature from SQL of the candidate and its surroundings; all double."""
     n = f"greatest(length({c}), 1)"
     known = "(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
@@ -113,6 +130,9 @@ def _features(c: str, before: str, after: str, path: str, words: list[str], step
         "address": flag(f"{before} rlike {_q('://[^/@]*:$')} and {after} rlike '^@'"),
         "words_before": f"cast(regexp_count({before}, '[A-Za-z]+') as double)",
         "words_after": f"cast(regexp_count({after}, '[A-Za-z]+') as double)",
+        "before_gain": _gain(near, beside.get("before", {})),
+        "after_gain": _gain(after, beside.get("after", {})),
+        "path_gain": _gain(path, beside.get("path", {})),
     }
 
 
@@ -135,6 +155,15 @@ def transition_gains(labelled: DataFrame) -> list[float]:
     return [round(math.log(a / total[1]) - math.log(b / total[0]), 4) for a, b in zip(n[1], n[0], strict=True)]
 
 
+def word_gains(labelled: DataFrame, text: str) -> dict[str, float]:
+    """Log of how much likelier each word of `text` (SQL) is with secrets than with others: the BESIDE words that tell most."""
+    rows = labelled.selectExpr("label", f"explode({_beside(text)}) as w").groupBy("w").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).where(F.col("n") >= BESIDE_LEAST)
+    yes, no = labelled.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    odds = F.log((F.col("yes") + 1) / ((yes or 0) + 2)) - F.log((F.col("n") - F.col("yes") + 1) / ((no or 0) + 2))
+    top = rows.withColumn("gain", F.round(odds, 3)).orderBy(F.abs("gain").desc(), "w").limit(BESIDE).collect()
+    return {r.w: r.gain for r in top}
+
+
 def labelled_findings(spark: SparkSession, rows: int = 6000, words: list[str] | None = None) -> DataFrame:
     """candidate, before, after, path, is_secret, kind: findings made by rule, where no reviewed ones are given.
 
@@ -152,8 +181,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, words: list[str] |
     mixed = f"replace(replace({b64}, '+', 'k'), '/', 'Q')"
     word = lambda i: f"element_at(ws, cast(pmod(xxhash64('w{i}', id), {len(some)}) as int) + 1)"
     say = lambda i: f"concat({word(i)}, ' ', {word(i + 1)}, ' ')"
-    name = texts("n", "password", "token", "secret", "api_key", "apikey", "auth_token", "access_key", "client_secret", "passwd", "pwd")
-    glue = texts("g", "=", " = ", ": ", '="', ' = "', '": "')
+    name = texts("n", "password", "token", "secret", "api_key", "apikey", "auth_token", "access_key", "client_secret", "passwd", "pwd", "Passwort", "Kennwort", "mot de passe", "contraseña", "clave", "secreto", "jeton")
+    glue = texts("g", "=", " = ", ": ", '="', ' = "', '": "', " : ")
     named = f"concat({say(1)}, {name}, {glue})"
     short = pick(
         "s",
@@ -176,6 +205,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, words: list[str] |
         ("bearer", f"concat('eyJ', {b64})", "'Bearer '", say(3), 1),
         ("short password", short, named, f"concat({texts('q', '', '\"', ' ')}, {say(3)})", 1),
         ("address", short, f"concat({say(1)}, {texts('u', 'postgres', 'https', 'redis', 'mysql')}, '://', {word(7)}, ':')", f"concat('@', {word(8)}, '.host/')", 1),
+        ("integrity", f"concat({texts('sr', 'sha512-', 'sha384-', 'sha256-', '')}, base64(unhex(concat({h('s1')}, {h('s2')}))))", f"concat({say(1)}, {texts('si', 'integrity ', 'integrity\x22: \x22', 'integrity=\x22', 'sha512 ', 'h1:')})", f"concat({texts('sj', '', '\x22')}, ' ', {say(3)})", 0),
+        ("key id", f"left({h('t1')}, 40)", f"concat({say(1)}, {texts('ki', 'private_key_id\x22: \x22', 'key_id: ', 'fingerprint: ', 'key id ', 'thumbprint=', 'signature_id: ')})", f"concat('\x22 ', {say(3)})", 0),
+        ("assigned name", f"concat(upper({word(5)}), '_', {texts('an', 'SECRET_ACCESS_KEY', 'CLIENT_SECRET', 'AUTH_TOKEN', 'PASSWORD_HASH', 'API_KEY_ID', 'CREDENTIALS_FILE', 'CONNECTION_STRING_2')})", f"concat({say(1)}, {texts('ao', '', 'export ', '$', '- ')})", f"concat({texts('ap', '=', ': ', ' = ', '')}, {mixed})", 0),
+        ("key block", f"concat('-----BEGIN ', {texts('kb', 'RSA ', '', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----\\n', repeat(concat(initcap({word(5)}), '-Info: ', {word(6)}, '\\n'), cast(pmod(xxhash64('kh', id), 24) - 8 as int)), '\\n', repeat(concat({b64}, '\\n'), 1 + cast(pmod(id, 9) as int)), '-----END PRIVATE KEY-----')", say(1), say(3), 1),
         ("commit", f"left({h('e')}, 40)", f"concat({say(1)}, {texts('c', 'commit ', 'sha1:', 'revision ', 'tree ', 'digest = ', 'checksum: ')})", say(3), 0),
         ("digest", h("f"), f"concat({say(1)}, {texts('d', 'sha256 ', 'sha256:', 'hash: ', 'etag \"')})", say(3), 0),
         ("uuid", f"concat_ws('-', substr({h('g')}, 1, 8), substr({h('g')}, 9, 4), substr({h('g')}, 13, 4), substr({h('g')}, 17, 4), substr({h('g')}, 21, 12))", f"concat({say(1)}, {texts('e', 'id=', 'uuid: ', 'session ', '')})", say(3), 0),
@@ -189,7 +222,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, words: list[str] |
         ("reference", pick("y", "concat('${', upper(" + word(5) + "), '}')", f"concat('os.environ[', {word(5)}, ']')", f"concat('get_', {word(5)}, '()')", f"concat('process.env.', upper({word(5)}))", f"concat('self.', {word(5)}, '_', {word(6)})", "'undefined'"), named, say(3), 0),
     ]
     cases = [f"when k = {i} then named_struct('candidate', cast({c} as string), 'before', {before}, 'after', {after}, 'is_secret', {y}D, 'kind', '{kind}')" for i, (kind, c, before, after, y) in enumerate(kinds)]
-    path = "if(pmod(xxhash64('t', id), 4) = 0 and k >= 8, 'tests/fixtures/a.py', '')"
+    secret = ", ".join(str(i) for i, kind in enumerate(kinds) if kind[4])
+    path = (
+        f"case when pmod(xxhash64('t', id), 2) = 0 then '' when k in ({secret}) then {texts('v1', 'config/prod.env', 'src/settings.py', 'deploy/values.yaml', 'app/main.py', 'tests/conftest.py', '.env')} "
+        f"else {texts('v2', 'tests/fixtures/a.py', 'package-lock.json', 'docs/readme.md', 'app/main.py', 'src/settings.py', 'vendor/sum.lock')} end"
+    )
     base = spark.range(rows).selectExpr("id", f"cast(pmod(id, {len(kinds)}) as int) as k", f"{every} as ws")
     return base.selectExpr(f"(case {' '.join(cases)} end) as f", f"{path} as path").select("f.*", "path")
 
@@ -207,15 +244,16 @@ def _parse(lines: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Forest:
-    """What scanning needs: the dictionary, the gains of transitions and SQL of the share of trees that say secret."""
+    """What scanning needs: the dictionary, the gains of transitions and of words beside, and SQL of the share of trees that say secret."""
 
     words: list[str]
     steps: list[float]
     trees: str
+    beside: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def features(self, c: str, before: str, after: str, path: str) -> str:
         """SQL of a candidate's features as a struct."""
-        each = _features(c, before, after, path, self.words, self.steps)
+        each = _features(c, before, after, path, self.words, self.steps, self.beside)
         return "named_struct(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in each.items()) + ")"
 
 
@@ -225,7 +263,8 @@ def train_forest(labelled: DataFrame, words: list[str] | None = None, trees: int
     Null texts count as empty; findings without a label are left out.
     """
     plain = labelled.selectExpr(*(f"coalesce({c}, '') as {c}" for c in ("candidate", "before", "after", "path")), "cast(is_secret as double) as label").where("label is not null")
-    made = Forest(words or _WORDS, transition_gains(plain), "")
+    beside = {k: word_gains(plain, f"right({k}, 40)" if k == "before" else k) for k in ("before", "after", "path")}
+    made = Forest(words or _WORDS, transition_gains(plain), "", beside)
     x = plain.selectExpr("label", f"{made.features('candidate', 'before', 'after', 'path')} as x").select("label", "x.*")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
@@ -236,7 +275,7 @@ def train_forest(labelled: DataFrame, words: list[str] | None = None, trees: int
             out.append(at)
         elif line.strip():
             at.append(line)
-    return Forest(made.words, made.steps, "(" + " + ".join(_parse(t) for t in out) + f") / {len(out)}")
+    return Forest(made.words, made.steps, "(" + " + ".join(_parse(t) for t in out) + f") / {len(out)}", beside)
 
 
 def default_forest(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Forest:
