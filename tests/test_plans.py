@@ -98,19 +98,6 @@ def test_containment_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, R.containment_join(docs, items, ["doc_id"], ["item_id"]).collect())) == [(1, 1), (1, 2), (2, 5)]
 
 
-def test_nearest_with_more_queries_than_are_broadcast(spark, monkeypatch):
-    from tidewell.operators import vectors as V
-
-    d = spark.range(300).selectExpr("id as vec_id", "array(cast(sin(id) as float), cast(cos(id * 3) as float)) as embedding")
-    q = d.where("vec_id % 20 = 0")
-    want = sorted(map(tuple, V.nearest(q, d, 4).select("query_id", "vec_id", "similarity").collect()))
-    monkeypatch.setattr(V, "BROADCAST_QUERIES", 3)
-    monkeypatch.setattr(V, "SHARDS", 5)
-    few = V.nearest(q, d, 4, block=4)
-    assert sorted(map(tuple, few.select("query_id", "vec_id", "similarity").collect())) == want and len(want) == 60
-    assert not operators(few)["BroadcastNestedLoopJoin"]
-
-
 def test_not_in_with_nulls_gives_nothing(spark):
     spark.createDataFrame([(1,), (2,)], "a int").createOrReplaceTempView("na_left")
     spark.createDataFrame([(1,), (None,)], "b int").createOrReplaceTempView("na_right")

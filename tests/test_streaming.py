@@ -55,3 +55,35 @@ def test_empty_stream(spark, tmp_path):
 def test_own_state_counts_over_files(spark, tmp_path):
     path = events(spark, tmp_path / "e", [[(1, 0, 1), (2, 1, 1)], [(3, 2, 1), (4, 3, 2)]])
     assert {(x.user_id, x.n) for x in S.user_totals(spark, path).collect()} == {(1, 3), (2, 1)}
+
+
+def _events(spark, rows):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    return spark.createDataFrame([(i, at(m), u, k) for i, (m, u, k) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string")
+
+
+def test_timers_close_sessions_and_free_their_state(spark, tmp_path):
+    """Rows out of order in two parts; each part is a run of its own that starts from the checkpoint; at the end no state is left."""
+    import datetime
+
+    at = f"file://{tmp_path}/stream"
+    first = _events(spark, [(50, 1, "a"), (0, 1, "a"), (20, 1, "a"), (0, 2, "a")])
+    second = _events(spark, [(75, 1, "a"), (200, 1, "a"), (45, 2, "a")])
+    got = lambda d: {(x.user_id, (x.session_start - datetime.datetime(2024, 1, 1)).total_seconds() / 60, x.n) for x in d.collect()}
+    part = got(S.timed_sessions(spark, [first, second], at))
+    assert part <= {(1, 0, 2), (1, 50, 2), (1, 0, 4), (2, 0, 1), (2, 45, 1)}
+    out = S.timed_sessions(spark, S.closing(first), at)
+    # from 0 to 20, 50 and 75 every step is below 30 minutes but the one from 20 to 50
+    assert got(out) == {(1, 0, 2), (1, 50, 2), (1, 200, 1), (2, 0, 1), (2, 45, 1)}
+    state = spark.read.format("statestore").option("stateVarName", "open").load(f"{at}/state")
+    assert state.count() == 0
+
+
+def test_clicks_without_purchase_come_out_when_their_hour_has_passed(spark, tmp_path):
+    path = f"file://{tmp_path}/e.parquet"
+    _events(spark, [(0, 1, "click"), (10, 1, "purchase"), (20, 1, "click"), (100, 1, "purchase"), (5, 2, "click"), (65, 2, "purchase"), (200, 3, "click"), (7, 4, "purchase")]).write.parquet(path)
+    got = sorted((x.user_id, x.click_id, x.purchase_id) for x in S.purchases_after_clicks_or_none(spark, path).collect() if x.purchase_id is not None)
+    alone = sorted((x.user_id, x.click_id) for x in S.purchases_after_clicks_or_none(spark, path).collect() if x.purchase_id is None)
+    assert got == [(1, 0, 1), (2, 4, 5)] and alone == [(1, 2), (3, 6)]

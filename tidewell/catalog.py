@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.money import exact
+from .operators import cells as C
+from .operators import neardup as N
+from .operators import ordered as O
+from .operators import python as P
 from .operators import relational as R
 from .operators import text as X
 from .operators import vectors as V
@@ -78,6 +82,16 @@ def _(spark, sf):
     return partitioned(spark, table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
 
 
+@_add("sink_bucketed_join", "SELECT o_orderpriority, l_returnflag, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def _(spark, sf):
+    """Two tables in equal buckets, joined as they lie."""
+    from .sources.formats import bucketed
+
+    o = bucketed(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "tidewell_orders", "o_orderkey", 16)
+    li = bucketed(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag"), "tidewell_lines", "l_orderkey", 16)
+    return o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority", "l_returnflag").agg(F.count("*").alias("n"))
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 
@@ -165,6 +179,30 @@ def _(spark, sf):
     return out.select("event_id", "user_id", "last_view")
 
 
+@_add(
+    "join_overlap",
+    "WITH s AS (SELECT user_id, min(ts) AS b, max(ts) + INTERVAL 30 MINUTE AS e FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM "
+    "(SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s) "
+    "SELECT x.user_id AS l_user_id, x.b AS l_b, y.user_id AS r_user_id, y.b AS r_b FROM s x JOIN s y ON x.b < y.e AND y.b < x.e AND x.user_id < y.user_id",
+)
+def _(spark, sf):
+    """Sessions of two users at the same time, over all users."""
+    w = F.session_window(F.col("ts").cast("timestamp"), "30 minutes")
+    d = table(spark, sf, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("b"), F.col("w.end").cast("timestamp_ntz").alias("e"))
+    return R.overlap_join(d, d, [], "b", "e", ["user_id", "b"], ["user_id", "b"]).where("l_user_id < r_user_id")
+
+
+@_add(
+    "join_inequality",
+    "WITH p AS (SELECT l_partkey, sum(cast(l_quantity AS DECIMAL(18,4))) AS sold, max(l_extendedprice) AS dearest FROM lineitem GROUP BY 1) "
+    "SELECT a.l_partkey, count(*) AS beaten_by FROM p a JOIN p b ON a.sold < b.sold AND a.dearest > b.dearest GROUP BY 1",
+)
+def _(spark, sf):
+    """Of each part, the parts that sell more although their dearest line is cheaper: two inequalities, no equal key."""
+    p = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum(exact("l_quantity")).alias("sold"), F.max("l_extendedprice").alias("dearest"))
+    return R.inequality_join(p, p, "sold", "dearest", ["l_partkey"], []).groupBy(F.col("l_l_partkey").alias("l_partkey")).agg(F.count("*").alias("beaten_by"))
+
+
 # --- subqueries and CTEs ---------------------------------------------------------------------
 
 _same("subquery_correlated_scalar", "lineitem", "SELECT count(*) AS n FROM lineitem l WHERE l_quantity < (SELECT avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
@@ -243,6 +281,16 @@ def _(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"), (F.min("value") + 0.0).alias("low"), F.max("value").alias("high"))
 
 
+@_add(
+    "agg_exact_quantiles_narrowed",
+    "SELECT l_returnflag, unnest([0.001, 0.5, 0.99]) AS share, round(unnest([quantile_cont(l_extendedprice, 0.001), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99)]), 6) AS quantile FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    """Exact, though no task sorts more than 2,000 values of a group."""
+    d = O.exact_quantiles(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", [0.001, 0.5, 0.99], most=2_000)
+    return d.withColumn("quantile", F.round("quantile", 6))
+
+
 @_add("agg_collect_and_extremes", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, arg_max(n_name, n_nationkey) AS last_name, bit_xor(n_nationkey) AS keys FROM nation GROUP BY 1")
 def _(spark, sf):
     return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"), F.max_by("n_name", "n_nationkey").alias("last_name"), F.bit_xor("n_nationkey").alias("keys"))
@@ -288,6 +336,28 @@ _same(
 )
 
 
+@_add(
+    "window_ranks_whole_table",
+    "SELECT event_id, row_number() OVER t AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(7) OVER t AS tile, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM events WINDOW w AS (ORDER BY event_type), t AS (ORDER BY event_type, ts, event_id)",
+)
+def _(spark, sf):
+    """All events as one partition, whose order has five values."""
+    d = O.ranks(table(spark, sf, "events").select("event_id", "event_type", "ts"), [], ["event_type"], ["ts", "event_id"], tiles=7)
+    return d.select("event_id", "rn", "rk", "dr", "tile", F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"))
+
+
+@_add("window_running_total_whole_table", "SELECT event_id, cast(sum(cast(value AS DECIMAL(18,4))) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM events")
+def _(spark, sf):
+    d = O.running(table(spark, sf, "events").select("event_id", "ts", "value"), [], ["ts", "event_id"], {"before": exact("value")})
+    return d.select("event_id", (F.col("before") + exact("value")).cast("double").alias("total"))
+
+
+@_add("window_range_frame_in_cells", _SQL["window_range_frame"])
+def _(spark, sf):
+    """The same frame with a user's rows over as many tasks as their days."""
+    return C.range_frame(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86_400, {"in_a_day": F.count("*")}).select("event_id", "in_a_day")
+
+
 @_add("top_k_per_group", "SELECT l_returnflag, l_orderkey, l_extendedprice, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey) <= 5")
 def _(spark, sf):
     order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")]
@@ -317,6 +387,12 @@ def _(spark, sf):
     return d.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
+@_add("window_session_in_cells", _SQL["window_session"])
+def _(spark, sf):
+    """The same sessions with a user's rows over as many tasks as their days."""
+    return C.sessions(table(spark, sf, "events"), "user_id", "ts", 1800).select("user_id", "session_start", "n")
+
+
 # --- sorts, limits, set operations ---------------------------------------------------------------
 
 
@@ -429,6 +505,24 @@ def _(spark, sf):
     return X.exact_duplicates(table(spark, sf, "documents"))
 
 
+@_add(
+    "text_near_dedup",
+    r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list(DISTINCT array_to_string(words[i : i + 4], ' '))) AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0) GROUP BY doc_id
+), c AS (SELECT g, min(doc_id) AS class_id FROM s GROUP BY g),
+x AS (SELECT class_id, unnest(g) AS h, len(g) AS n FROM c),
+l AS (SELECT a.class_id AS a, b.class_id AS b FROM x a JOIN x b ON a.h = b.h AND a.class_id < b.class_id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (min(a.n) + min(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT class_id, class_id FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(len(g), 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (g) LEFT JOIN m USING (class_id)""",
+)
+def _(spark, sf):
+    return N.near_duplicates(table(spark, sf, "documents"))
+
+
 @_add("text_line_dedup", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line")
 def _(spark, sf):
     return X.line_counts(table(spark, sf, "documents"))
@@ -479,16 +573,34 @@ def _(spark, sf):
 # --- vectors -----------------------------------------------------------------------------------------
 
 
-@_add(
-    "vector_nearest",
+_NEAREST = (
     "SELECT query_id, vec_id, similarity FROM (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) "
-    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5",
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5"
 )
+
+
+@_add("vector_nearest", _NEAREST)
 def _(spark, sf):
+    """A stated query set against all vectors, in blocks."""
     e = table(spark, sf, "embeddings")
     return V.nearest(e.where("vec_id % 20 = 0"), e, 5).select("query_id", "vec_id", "similarity")
 
 
+@_add("vector_index_exact", _NEAREST)
+def _(spark, sf):
+    """The same through inverted lists, made and searched here, in exact mode."""
+    e = table(spark, sf, "embeddings")
+    return V.VectorIndex.build(e).nearest(e.where("vec_id % 20 = 0"), 5, exact=True).select("query_id", "vec_id", "similarity")
+
+
+@_add("vector_index_probed")
+def _(spark, sf):
+    """Of the index only the lists nearest to each query; tests hold its recall against the exact result."""
+    e = table(spark, sf, "embeddings")
+    index = V.VectorIndex.build(e)
+    return index.nearest(e.where("vec_id % 20 = 0"), 5, probes=-(-4 * len(index.size) // 5)).select("query_id", "vec_id", "similarity")
+
+
 @_add("vector_norm", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
@@ -539,6 +651,19 @@ def _(spark, sf):
     return S.all_sessions(spark, f"{sf}/events.parquet")
 
 
+@_add(
+    "stream_stream_left_outer",
+    "SELECT c.user_id, c.event_id AS click_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON p.user_id = c.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 60 MINUTE",
+)
+def _(spark, sf):
+    return S.purchases_after_clicks_or_none(spark, f"{sf}/events.parquet")
+
+
+@_add("stream_timed_sessions", _SQL["window_session"])
+def _(spark, sf):
+    return S.all_timed_sessions(spark, f"{sf}/events.parquet")
+
+
 # --- user functions ------------------------------------------------------------------------------------
 
 
@@ -600,6 +725,43 @@ def _(spark, sf):
     return spark.sql("SELECT n_nationkey, i FROM nation, LATERAL tidewell_upto(n_regionkey)")
 
 
+@_add("udf_two_phase_aggregate", "SELECT l_returnflag, quantile_disc(cast(l_quantity AS BIGINT), 0.5) AS median_quantity FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    """A median by histograms of whole numbers: a state a key and task is shuffled, never a line."""
+    import json
+
+    import pyarrow.compute as pc
+
+    def add(state, values):
+        seen = json.loads(state) if state else {}
+        for x in pc.value_counts(values.drop_null()).to_pylist():
+            seen[str(x["values"])] = seen.get(str(x["values"]), 0) + x["counts"]
+        return json.dumps(seen).encode()
+
+    def merge(a, b):
+        a, b = json.loads(a), json.loads(b)
+        return json.dumps({k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}).encode()
+
+    def finish(state):
+        seen = sorted((int(k), n) for k, n in json.loads(state).items())
+        rank = -(-sum(n for _, n in seen) // 2)
+        for value, n in seen:
+            rank -= n
+            if rank <= 0:
+                return value
+
+    d = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"))
+    return P.two_phase(d, "l_returnflag", "q", add, merge, finish, "median_quantity long")
+
+
+@_add("udtf_sessions", _SQL["window_session"])
+def _(spark, sf):
+    """A table-valued function with a TABLE argument that asks for its own partitioning and order."""
+    P.register_sessions(spark)
+    views(spark, sf, ["events"])
+    return spark.sql("SELECT key AS user_id, session_start, n FROM tidewell_sessions(TABLE(SELECT user_id AS key, ts FROM events), 1800)")
+
+
 @_add("udf_sql", "SELECT p_partkey, p_retailprice * 1.2 AS gross FROM part")
 def _(spark, sf):
     views(spark, sf, ["part"])

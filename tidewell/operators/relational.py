@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Items (of ITEM_BYTES in all) that meet every document in one pass of a containment join.
 ITEMS, ITEM_BYTES = 10_000, 32 << 20
+#: Rows of the left side in one block of a group of an inequality join.
+GROUP_ROWS = 10_000
 
 
 def _micros(c: Column) -> Column:
@@ -52,6 +54,87 @@ def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, wi
     return l.join(r, [*key, "_cell"]).where(f"_rt > _lt and _rt <= _lt + {span}").drop("_cell", "_lt", "_rt")
 
 
+def _levels(a: DataFrame, b: DataFrame) -> list[int]:
+    return sorted({r[0] for d in (a, b) for r in d.select("_home").distinct().collect()})  # at most 32 lengths
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: list[str], start: str, end: str, left_cols: list[str], right_cols: list[str], cell: int = 3600) -> DataFrame:
+    """Pairs of equal keys whose intervals [start, end), in times, overlap: l_ and r_ columns, each pair once.
+
+    An interval lies in the cells of a level that fits its length (a level's cells are four times those
+    below, the lowest `cell` seconds), so in five at most; on every coarser level that is in use it has two at most.
+    Two intervals meet on the coarser of their levels, in an equi-join by cell, and only the first cell
+    that both lie in gives the pair. Rows with a null key, start or end, or an end not after the start, overlap nothing.
+    """
+    base = cell * 1_000_000
+
+    def laid(d: DataFrame, cols: list[str], mark: str) -> DataFrame:
+        d = d.select(*key, *(F.col(c).alias(f"{mark}_{c}") for c in cols), _micros(F.col(start)).alias("_s"), _micros(F.col(end)).alias("_e")).where("_s < _e")
+        # whole numbers decide the level; 31 levels of base cells hold any time
+        long = F.col("_e") - F.col("_s")
+        level = F.lit(30)
+        for n in range(29, -1, -1):
+            if base << 2 * n < 1 << 62:
+                level = F.when(long <= F.lit(min(base << 2 * n + 2, (1 << 63) - 1)), n).otherwise(level)
+        return d.withColumn("_home", level)
+
+    a, b = laid(left, left_cols, "l"), laid(right, right_cols, "r")
+    used = F.array(*(F.lit(n) for n in _levels(a, b) or [0]))
+    width = F.when(F.col("_level") == 0, F.lit(base))
+    for n in range(1, 31):
+        width = width.when(F.col("_level") == n, F.lit(min(base << 2 * n, 1 << 62)))
+
+    def dealt(d: DataFrame, mark: str) -> DataFrame:
+        d = d.withColumn("_level", F.explode(F.filter(used, lambda n: n >= F.col("_home")))).withColumn("_w", width)
+        at = lambda c: ((c - F.pmod(c, F.col("_w"))) / F.col("_w")).cast("long")
+        d = d.withColumn("_first", at(F.col("_s"))).withColumn("_cell", F.explode(F.sequence(F.col("_first"), at(F.col("_e") - 1))))
+        return d.select(*key, "_level", "_cell", *(c for c in d.columns if c.startswith(f"{mark}_")), *(F.col(c).alias(f"{mark}{c}") for c in ("_s", "_e", "_first", "_home")))
+
+    met = dealt(a, "l").join(dealt(b, "r"), [*key, "_level", "_cell"])
+    met = met.where("l_s < r_e and r_s < l_e and _cell = greatest(l_first, r_first) and _level = greatest(l_home, r_home)")
+    return met.select(*key, *(f"l_{c}" for c in left_cols), *(f"r_{c}" for c in right_cols))
+
+
+def inequality_join(left: DataFrame, right: DataFrame, x: str, y: str, left_cols: list[str], right_cols: list[str]) -> DataFrame:
+    """Pairs with left.x < right.x and left.y > right.y: l_ and r_ columns, each pair once.
+
+    Both columns are replaced by the ranks of their values. Two ranks a < b part at one bit:
+    above it they are equal, there a has 0 and b has 1. So each row is dealt, for every bit of
+    its x rank that fits its side and every such bit of its y rank, to the group of rows equal above
+    both; a pair meets in exactly one group and every row of the left meets every row of the right in it: an equi-join
+    whose work is its output. Copies of a row are at most the bits of the ranks, multiplied; only
+    groups that have rows of both sides are kept, before the rows travel. Rows with a null in x or y have no pair.
+    """
+    from .ordered import kept, running
+
+    def ranked(column: str, mark: str) -> DataFrame:
+        values = left.select(F.col(column).alias(mark)).union(right.select(F.col(column).alias(mark))).where(f"{mark} is not null").distinct()
+        return running(values, [], [mark], {f"{mark}_rank": F.lit(1)})
+
+    rx, ry = kept(ranked(x, "_x")), kept(ranked(y, "_y"))
+    bits = lambda d: max(1, int(d.count()).bit_length())
+    bx, by = bits(rx), bits(ry)
+
+    def dealt(d: DataFrame, cols: list[str], mark: str, x_bit: int) -> DataFrame:
+        d = d.select(*(F.col(c).alias(f"{mark}_{c}") for c in cols), F.col(x).alias("_x"), F.col(y).alias("_y"))
+        d = d.join(rx, "_x").join(ry, "_y").drop("_x", "_y")
+        for name, n, bit in (("_x", bx, x_bit), ("_y", by, 1 - x_bit)):
+            rank = F.col(f"{name}_rank").cast("long")
+            places = [F.when(F.getbit(rank, F.lit(i)) == bit, i) for i in range(n)]
+            d = d.withColumn(f"{name}_at", F.explode(F.array_compact(F.array(*places))))
+            d = d.withColumn(f"{name}_above", F.expr(f"shiftright(cast({name}_rank as bigint), {name}_at + 1)"))
+        return d.drop("_x_rank", "_y_rank")
+
+    group = ["_x_at", "_x_above", "_y_at", "_y_above"]
+    a, b = dealt(left.withColumn("_row", F.monotonically_increasing_id()), [*left_cols, "_row"], "l", 0), dealt(right, right_cols, "r", 1)
+    both = kept(a.groupBy(*group).agg(F.count("*").alias("_a")).join(b.groupBy(*group).agg(F.count("*").alias("_b")), group))
+    # a group of many rows of both sides is dealt into blocks of the left
+    both = both.withColumn("_blocks", F.ceil(F.col("_a") / GROUP_ROWS).cast("int")).drop("_a", "_b")
+    a = a.join(both, group).withColumn("_block", F.pmod("l__row", F.col("_blocks")).cast("int")).drop("_blocks")
+    b = b.join(both, group).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    return a.join(b, [*group, "_block"]).select(*(f"l_{c}" for c in left_cols), *(f"r_{c}" for c in right_cols))
+
+
 def containment_join(docs: DataFrame, items: DataFrame, doc_cols: list[str], item_cols: list[str], text: str = "text") -> DataFrame:
     """Pairs of a document and an item whose whole text, not empty, occurs in the document's.
 

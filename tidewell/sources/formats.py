@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,35 @@ def round_trip(spark: SparkSession, df: DataFrame, fmt: str, **options: str) ->
     return spark.read.format(fmt).schema(df.schema).options(**options).load(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table of the session's catalog, in `buckets` files by key, each in the key's order; read back.
+
+    Two tables of as many buckets join on the key as they lie: no row is shuffled, and where
+    ordered_buckets() is on none is sorted. The files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+@contextmanager
+def ordered_buckets(spark: SparkSession):
+    """Inside, plans take the order that bucketed() wrote for granted; one file a bucket makes that safe."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Write df by a column's values into a folder; of what lay there only the partitions that df has are replaced."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitioned(spark: SparkSession, df: DataFrame, by: str) -> DataFrame:
     """Write df by a column's values; scans that filter on it read those folders only."""
     path = scratch(spark)
