@@ -283,7 +283,7 @@ def _(spark, sf):
 
 @_add(
     "agg_exact_quantiles_narrowed",
-    "SELECT l_returnflag, unnest([0.001, 0.5, 0.99]) AS share, round(unnest([quantile_cont(l_extendedprice, 0.001), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99)]), 6) AS quantile FROM lineitem GROUP BY 1",
+    "SELECT l_returnflag, unnest([0.001::DOUBLE, 0.5::DOUBLE, 0.99::DOUBLE]) AS share, round(unnest([quantile_cont(l_extendedprice, 0.001), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99)]), 6) AS quantile FROM lineitem GROUP BY 1",
 )
 def _(spark, sf):
     """Exact, though no task sorts more than 2,000 values of a group."""
