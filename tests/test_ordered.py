@@ -121,3 +121,23 @@ def test_two_inequalities_against_pairs(spark, monkeypatch, block):
     found = operators(out)
     assert not found["BroadcastNestedLoopJoin"] and not found["CartesianProduct"]
     assert R.inequality_join(da.limit(0), db, "x", "y", ["id"], ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_counts_by_two_inequalities_against_pairs(spark, parts):
+    r = random.Random(8)
+    make = lambda n: [(i, r.choice([None, *range(9)]), r.choice([None, 0.5, -0.0, 0.0, 1e300, -7.25, 3.0])) for i in range(n)]
+    a, b = make(120), make(90)
+    b += [(1000 + i, 4, 0.5) for i in range(60)]  # many equal rows
+    da, db = (spark.createDataFrame(x, "id int, x int, y double").repartition(parts) for x in (a, b))
+    out = R.inequality_counts(da, db, "x", "y", "n")
+    want = {p[0]: n for p in a if None not in p[1:] for n in [sum(None not in q[1:] and p[1] < q[1] and p[2] > q[2] for q in b)] if n}
+    assert out.columns == ["id", "x", "y", "n"] and {p.id: p.n for p in out.collect()} == want and len(want) > 50
+    assert R.inequality_counts(da.limit(0), db, "x", "y", "n").count() == 0 == R.inequality_counts(da, db.limit(0), "x", "y", "n").count()
+
+
+def test_counts_need_no_pairs(spark):
+    """20,000 rows with 200 million pairs, counted without making one."""
+    d = spark.range(20_000).select("id", F.col("id").alias("x"), (-F.col("id")).alias("y"))
+    out = R.inequality_counts(d, d, "x", "y", "n")
+    assert out.agg(F.sum("n")).first()[0] == 20_000 * 19_999 // 2 and out.where("n <> 19999 - id").count() == 0

@@ -135,6 +135,36 @@ def inequality_join(left: DataFrame, right: DataFrame, x: str, y: str, left_cols
     return a.join(b, [*group, "_block"]).select(*(f"l_{c}" for c in left_cols), *(f"r_{c}" for c in right_cols))
 
 
+def inequality_counts(left: DataFrame, right: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """left, each row with the number of right rows with left.x < right.x and left.y > right.y; rows without any are left out.
+
+    No pair is built. Equal points (x, y) are one, with their counts, and both columns are replaced by the ranks
+    of their values. Two x ranks a < b part at one bit: above it they are equal, there a has 0 and b has 1. So each
+    point goes, for every bit of its x rank, to the points equal above that bit, where a point with 0 counts the
+    right rows with 1 before it in y: a running sum over ranges of the order, whatever one group's share of the
+    points. Rows are as many as points times bits. Rows with a null in x or y have no pair.
+    """
+    from .ordered import kept, running
+
+    def points(d: DataFrame, n: str, other: str) -> DataFrame:
+        return d.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias(n)).withColumn(other, F.lit(0).cast("long"))
+
+    every = points(left, "_l", "_r").unionByName(points(right, "_r", "_l")).groupBy("_x", "_y").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    every = kept(every)
+    rank = lambda c: kept(running(every.select(c).distinct(), [], [c], {f"{c}_rank": F.lit(1)}))
+    rx, ry = rank("_x"), rank("_y")
+    ranked = kept(every.join(rx, "_x").join(ry, "_y").select("_x", "_y", "_l", "_r", F.col("_x_rank").cast("long").alias("_a"), F.col("_y_rank").cast("long").alias("_b")))
+    bits = max(1, int(rx.count()).bit_length())
+    dealt = ranked.select("_a", "_b", "_l", "_r", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_at"))
+    dealt = dealt.withColumn("_bit", F.getbit("_a", "_at").cast("int")).withColumn("_above", F.expr("shiftright(_a, _at + 1)"))
+    dealt = dealt.where("if(_bit = 0, _l, _r) > 0").select("_at", "_above", "_b", "_bit", F.when(F.col("_bit") == 0, F.col("_a")).alias("_a"), F.when(F.col("_bit") == 1, F.col("_r")).otherwise(0).alias("_n"))
+    # of equal y those that count come first, and what is counted later
+    met = running(dealt, ["_at", "_above"], ["_b", "_bit"], {"_before": F.col("_n")})
+    found = met.where("_bit = 0 and _before > 0").groupBy("_a", "_b").agg(F.sum("_before").cast("long").alias(out))
+    found = ranked.join(found, ["_a", "_b"]).select("_x", "_y", out)
+    return left.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
+
+
 def containment_join(docs: DataFrame, items: DataFrame, doc_cols: list[str], item_cols: list[str], text: str = "text") -> DataFrame:
     """Pairs of a document and an item whose whole text, not empty, occurs in the document's.
 
