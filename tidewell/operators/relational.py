@@ -165,6 +165,18 @@ def inequality_counts(left: DataFrame, right: DataFrame, x: str, y: str, out: st
     return left.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
 
 
+def not_in(left: DataFrame, right: DataFrame, key: Column, value: Column) -> DataFrame:
+    """Rows of left whose key NOT IN the values of right holds, as SQL has it, without a broadcast of the values.
+
+    An empty right side keeps every row, a null among its values none; else a null key is left out. The
+    two counts that tell are one row; all other rows meet in an equi-join.
+    """
+    values = right.select(value.alias("_v"))
+    facts = values.agg(F.count("*").alias("_all"), F.count_if(F.col("_v").isNull()).alias("_nulls"))
+    rows = left.withColumn("_k", key).crossJoin(F.broadcast(facts)).where("_all = 0 or (_nulls = 0 and _k is not null)")
+    return rows.join(values, F.col("_k") == F.col("_v"), "left_anti").select(*left.columns)
+
+
 def containment_join(docs: DataFrame, items: DataFrame, doc_cols: list[str], item_cols: list[str], text: str = "text") -> DataFrame:
     """Pairs of a document and an item whose whole text, not empty, occurs in the document's.
 
