@@ -1,5 +1,8 @@
-"""Joins that follow SQL in null keys: small cases."""
+"""Joins that follow SQL in null keys and rounded times: against DuckDB and small cases."""
 
+import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +31,14 @@ def test_not_in_does_not_broadcast_values(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_interval_rounds_as_its_sql(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    clicks = [0.0, 0.4, 0.5, 0.6, 1.5, 1.499999, 2.5]
+    rows = [(i, at(s), 1, "click") for i, s in enumerate(clicks)] + [(100 + i, at(s), 1, "purchase") for i, s in enumerate([0.5, 0.51, 1.5, 2.49, *(86400 + s for s in (0.4, 0.5, 0.6, 1.5, 2.5))])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.execute(catalog.oracle_sql()["join_interval"]).fetchall())
+    assert sorted(map(tuple, catalog.queries()["join_interval"](spark, str(tmp_path)).collect())) == want and want
