@@ -42,3 +42,11 @@ def test_interval_rounds_as_its_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(c.execute(catalog.oracle_sql()["join_interval"]).fetchall())
     assert sorted(map(tuple, catalog.queries()["join_interval"](spark, str(tmp_path)).collect())) == want and want
+
+
+def test_lateral_window_has_the_order(spark):
+    """The limit's window is ordered by price and key; a sort before a shuffle holds no order after it."""
+    plan = formatted(catalog.queries()["join_lateral"](spark, "/root/testdata/sf0.001"))
+    assert "rangepartitioning" not in plan
+    window = plan[plan.rindex("row_number()") :].splitlines()[0]
+    assert "o_totalprice" in window and "o_orderkey" in window
