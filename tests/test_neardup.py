@@ -120,3 +120,14 @@ def test_repeated_and_null_ids_names_and_none(spark):
     assert N.near_duplicates(d.limit(0)).count() == 0
     with pytest.raises(ValueError):
         N.near_duplicates(d, similarity=0.2)
+
+
+def test_only_texts_that_meet_have_their_sets_written(spark, monkeypatch):
+    """Two near texts among forty that share nothing: the sets of two rows travel, not of all."""
+    seen, real = [], N._sets
+    monkeypatch.setattr(N, "_sets", lambda d, words: seen.append(d.count()) or real(d, words))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)]
+    rows += [(100, rows[3][1] + " more"), (101, rows[3][1]), (102, None)]
+    got = {r.doc_id: (r.class_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen == [2]
+    assert got[100] == (100, 3) and got[101] == (3, 3) and got[102] == (102, 102) and all(got[i] == (i, i) for i in range(40))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.formats import bucketed
 from .ordered import kept
 
 HASHES, BANDS = 128, 32
@@ -29,6 +31,8 @@ HASHES, BANDS = 128, 32
 STARS, BLOCK = 3, 128
 #: How far an estimate may fall short of the wanted similarity and still be verified: four standard errors at 0.75.
 SLACK = 0.15
+#: Rows sharing a bucket that are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -81,25 +85,34 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _marks(docs: DataFrame, words: int) -> DataFrame:
+    """(row, n, digest, bands) of (row, text): what all rows are compared by before any set travels."""
+
     def run(batches):
         known: dict[str, int] = {}
         for batch in batches:
-            n, digest, sig, bands, sets = [], [], [], [], []
+            n, digest, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text or "", words, known)
-                m = signature(s)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sig.append(m.astype("<u4").tobytes())
-                bands.append(_bands(m) if len(s) else [])
-                sets.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["row", "n", "digest", "sig", "bands", "set"],
-            )
+                bands.append(_bands(signature(s)) if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["row", "n", "digest", "bands"])
+
+    return docs.mapInArrow(run, "row long, n long, digest binary, bands array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(row, n, sig, set) of (row, text)."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            sets = [shingles(text or "", words, known) for text in batch.column(1).to_pylist()]
+            sig, held = (pa.array(x, pa.binary()) for x in ([signature(s).astype("<u4").tobytes() for s in sets], [s.astype("<u8").tobytes() for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), sig, held], ["row", "n", "sig", "set"])
 
-    return docs.mapInArrow(run, "row long, n long, digest binary, sig binary, bands array<long>, set binary")
+    return docs.mapInArrow(run, "row long, n long, sig binary, set binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -129,9 +142,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             ok = [_linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda m: sets.select(F.col("row").alias(m), F.col("n").alias(f"n{m}"), F.col("set").alias(f"set{m}"))
+    # sizes first, as they are short; then only a's sets travel, and only those of pairs: the table of sets lies in buckets by row
+    side = lambda m, c: sets.select(F.col("row").alias(m), F.col(c).alias(f"{c}{m}"))
     sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sized)
+    met = kept(pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(sized).select("a", "b"))
+    met = met.join(side("a", "set"), "a").join(side("b", "set"), "b")
     return met.select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long")
 
 
@@ -181,15 +196,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("similarity must lie in [0.5, 1]")
     ship(docs.sparkSession)
     named = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
-    sets = kept(_sets(named.select("row", "text"), words))
-    rows = sets.select("row", "n", "digest").join(named.select("row", "id"), "row")
+    marks = kept(_marks(named.select("row", "text"), words))
+    rows = marks.select("row", "n", "digest").join(named.select("row", "id"), "row")
     first = lambda: F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = kept(rows.where("n > 0").groupBy("digest").agg(first().alias("first")))
     classes = classes.select("digest", F.col("first.row").alias("rep"), F.col("first.id").alias("class_id"))
-    reps = kept(sets.join(classes.select(F.col("rep").alias("row")), "row").select("row", "n", "sig", "bands", "set"))
-    dealt = reps.select("row", F.explode("bands").alias("key"))
-    full = dealt.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    reps = classes.select(F.col("rep").alias("row"))
+    dealt = kept(marks.join(reps, "row").select("row", F.explode("bands").alias("key")))
+    # buckets of the same members are one: told by their number and 128 bits over them
+    alike = ["c", *(f"h{i}" for i in range(2))]
+    full = dealt.groupBy("key").agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"h{i}") for i in range(2))).where("c > 1")
+    full = full.groupBy(*alike).agg(F.min("key").alias("key")).select("key")
     buckets = kept(dealt.join(full, "key"))
+    # only texts that share a bucket have their sets written down
+    meeting = kept(buckets.select("row").distinct())
+    few = meeting.count() <= BROADCAST_ROWS
+    sets = _sets(named.join(F.broadcast(meeting) if few else meeting, "row", "left_semi").select("row", "text"), words)
+    spark = docs.sparkSession
+    sets = bucketed(sets, f"tidewell_sets_{uuid.uuid4().hex}", "row", int(spark.conf.get("spark.sql.shuffle.partitions")))
     labels = kept(reps.select("row", F.col("row").alias("comp")))
     for turn in range(STARS + 1):
         now = kept(buckets.join(labels, "row"))
@@ -197,9 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).where("low < high").select("key", "h.hub", "h.of")
         if turn < STARS:
             pairs = now.join(open_, "key").where("comp <> of").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
-            links = kept(_verified(pairs, reps, similarity))
+            links = kept(_verified(pairs, sets, similarity))
         else:
-            links = kept(_in_blocks(now.join(open_.select("key"), "key"), reps, similarity))
+            links = kept(_in_blocks(now.join(open_.select("key"), "key"), sets, similarity))
         if not links.isEmpty():
             labels = _merged(labels, links)
     by_class = classes.join(labels, classes["rep"] == labels["row"]).select("digest", "class_id", "comp")
