@@ -110,3 +110,17 @@ def test_one_hot_list(spark, small_blocks):
     assert index.size.max() >= 500
     q = d.where("vec_id % 20 = 0")
     assert got(index.nearest(q, 3, probes=2, exact=True)) == brute(m, list(range(0, 612, 20)), 3)
+
+
+def test_memory_of_a_block_of_queries_is_small():
+    """A full block of queries against a batch: far less than all its cells at once."""
+    import tracemalloc
+
+    r = np.random.default_rng(9)
+    best = V.Best(np.arange(V.QUERY_BLOCK), r.normal(size=(V.QUERY_BLOCK, 64)), 5)
+    rows = r.normal(size=(2000, 64))
+    tracemalloc.start()
+    best.add(np.arange(2000) + 10_000, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

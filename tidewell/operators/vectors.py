@@ -23,7 +23,7 @@ def dot(a: Column, b: Column) -> Column:
 #: Queries that are broadcast; more are dealt with the rows.
 BROADCAST_QUERIES = 20_000
 #: Queries and vectors of one product at most, and its cells, so that a task's memory is bounded.
-QUERY_BLOCK, ROW_BLOCK, CELLS = 4_096, 65_536, 4 << 20
+QUERY_BLOCK, ROW_BLOCK, CELLS = 4_096, 65_536, 1 << 19
 #: Vectors that the index's centroids are trained on at most, and most lists.
 TRAINING, LISTS = 50_000, 4_096
 #: Similarities are told apart to so many digits; those equal in them go by id.
