@@ -369,3 +369,18 @@ def test_components_rounds_agree_with_one_task(spark, monkeypatch):
     one = {(x.node, x.label) for x in C.components(spark, Workspace(spark, "t"), e).collect()}
     monkeypatch.setattr(C, "ONE_TASK", -1)
     assert {(x.node, x.label) for x in C.components(spark, Workspace(spark, "t"), e).collect()} == one
+
+
+def test_keys_travel_in_five_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8], pa.int64()), pa.array([text, text + " more"])], ["id", "text"])
+    out = pa.Table.from_batches(list(jaccard._keyed(5, 75, 4)(iter([batch]))))
+    n = sum(int(np.frombuffer(c, dtype=np.uint32).sum()) for c in out.column("counts").to_pylist())
+    assert n > 100 and sum(map(len, out.column("keys").to_pylist())) == 5 * n
+    shared = pa.concat_tables([jaccard._shared_keys([pa.scalar(b)], out.filter(pa.compute.equal(out.column("bucket"), b))) for b in range(4)])
+    assert set(shared.column("id").to_pylist()) == {7, 8}

@@ -49,6 +49,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 512
 #: Rows of one component's keys that are compared in one place, where repeats of a pair are seen.
 TOGETHER = 1000
+#: Bytes of a key that travel, beside its bucket: keys that are equal in them only by chance give candidates, which are verified.
+KEY_BYTES = 5
 #: Keys that one bucket takes; the number of buckets follows the shingles counted before.
 BUCKET_KEYS = 1_000_000
 ROUNDS = 1
@@ -216,12 +218,12 @@ def _classes(words: int, percent: int):
 
 
 def _keyed(words: int, percent: int, buckets: int):
-    """Keys, dealt into buckets and packed by document: 20 bytes a document and 6 a key."""
+    """Keys, dealt into buckets and packed by document: 20 bytes a document and KEY_BYTES a key."""
 
     def packed(ids, sigs, keys):
         low = (keys & K.U(0xFFFFFFFF)).astype(np.int64) % buckets
         o = np.argsort(low, kind="stable")
-        low, ids, sigs, keys = low[o], ids[o], sigs[o], keys[o] >> K.U(16)
+        low, ids, sigs, keys = low[o], ids[o], sigs[o], keys[o] >> K.U(64 - 8 * KEY_BYTES)
         edges = np.searchsorted(low, np.arange(buckets + 1))
         rows: list[list] = [[], [], [], [], []]
         for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
@@ -231,7 +233,7 @@ def _keyed(words: int, percent: int, buckets: int):
                 rows[1].append(ids[a:b][new].tobytes())
                 rows[2].append(sigs[a:b][new].tobytes())
                 rows[3].append(np.diff(np.append(new, b - a)).astype(np.uint32).tobytes())
-                rows[4].append(np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                rows[4].append(np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "ids", "sigs", "counts", "keys"])
 
     def run(batches):
@@ -270,7 +272,7 @@ def _shared_keys(key, table):
         sigs.append(np.frombuffer(s, dtype=np.int64))
         counts.append(c)
         wide = np.zeros((int(c.sum()), 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(k, dtype=np.uint8).reshape(-1, 6)
+        wide[:, :KEY_BYTES] = np.frombuffer(k, dtype=np.uint8).reshape(-1, KEY_BYTES)
         keys.append(wide.view(np.int64).ravel())
     # Whole digests become numbers in this table, of half their width, before they are repeated for each key.
     s = np.repeat(np.unique(np.concatenate(sigs), return_inverse=True)[1].astype(np.int32), np.concatenate(counts))
