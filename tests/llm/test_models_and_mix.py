@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -583,3 +584,30 @@ def test_mix_of_many_equal_rows(spark):
         assert abs(sum(x.taken for x in own) - own[0].target) <= 8 and max(x.copies for x in own) <= 3
     junk = {x.copies for x in got if x.doc_id is None}
     assert len(junk) <= 2 and max(junk) - min(junk) <= 1
+
+
+def test_release_gives_native_memory_of_the_driver_back(spark):
+    from tidewell.llm._shared import release
+
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def native():  # MB beside the Java heap, which lies at low addresses
+        lines, high, total = open(f"/proc/{pid}/smaps"), False, 0
+        for x in lines:
+            if re.match("[0-9a-f]+-[0-9a-f]+ ", x):
+                high = x.startswith("7f")
+            elif high and x.startswith("Anonymous:"):
+                total += int(x.split()[1])
+        return total // 1024
+
+    held = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(3000)]
+    full = native()
+    # some stay, so that no long stretch of what is freed lies at an end
+    kept = held[::50] + held[-1:]
+    del held
+    for _ in range(5):  # Java's cleaner works beside
+        release(spark)
+        if native() < full - 120:
+            break
+    assert len(kept) == 61 and native() < full - 120

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import unused
+from ._shared import release, unused
 
 # Patterns of candidates and of their surroundings.
 _RUN = "[A-Za-z0-9+/_-]"
@@ -281,7 +281,9 @@ def train_forest(labelled: DataFrame, words: list[str] | None = None, trees: int
 def default_forest(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Forest:
     """A forest on findings made by rule, with the documents' own commonest words as the dictionary."""
     words = common_words(docs, text_col)
-    return train_forest(labelled_findings(spark, words=words), words)
+    forest = train_forest(labelled_findings(spark, words=words), words)
+    release(spark)  # the fit runs through many plans
+    return forest
 
 
 def scan_secrets(
