@@ -141,3 +141,9 @@ def test_counts_need_no_pairs(spark):
     d = spark.range(20_000).select("id", F.col("id").alias("x"), (-F.col("id")).alias("y"))
     out = R.inequality_counts(d, d, "x", "y", "n")
     assert out.agg(F.sum("n")).first()[0] == 20_000 * 19_999 // 2 and out.where("n <> 19999 - id").count() == 0
+
+
+def test_overlaps_are_made_in_many_tasks(spark):
+    d = spark.range(2000).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 10 * id) as s", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 10 * id, 50) as e").coalesce(1)
+    tasks = R.overlap_join(d, d, [], "s", "e", ["id"], ["id"]).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in tasks) == 2000 and len(tasks) > 1

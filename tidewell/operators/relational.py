@@ -90,7 +90,10 @@ def overlap_join(left: DataFrame, right: DataFrame, key: list[str], start: str,
         d = d.withColumn("_first", at(F.col("_s"))).withColumn("_cell", F.explode(F.sequence(F.col("_first"), at(F.col("_e") - 1))))
         return d.select(*key, "_level", "_cell", *(c for c in d.columns if c.startswith(f"{mark}_")), *(F.col(c).alias(f"{mark}{c}") for c in ("_s", "_e", "_first", "_home")))
 
-    met = dealt(a, "l").join(dealt(b, "r"), [*key, "_level", "_cell"])
+    # few bytes make many pairs, so the number of tasks must not follow the bytes
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = (d.repartition(n, *key, "_level", "_cell") for d in (dealt(a, "l"), dealt(b, "r")))
+    met = l.join(r, [*key, "_level", "_cell"])
     met = met.where("l_s < r_e and r_s < l_e and _cell = greatest(l_first, r_first) and _level = greatest(l_home, r_home)")
     return met.select(*key, *(f"l_{c}" for c in left_cols), *(f"r_{c}" for c in right_cols))
 
