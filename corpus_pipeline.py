@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ ORACLE_SQL: str | None = None
 
 #: Rows of dropped near duplicates that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Files whose names may be broadcast to number the rows in them; rows of more are written down with their numbers.
+NUMBERED_FILES = 100_000
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -31,6 +34,27 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
     return plain, lambda d: d.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
 
 
+def _in_files(ws: Workspace, docs: DataFrame) -> DataFrame | None:
+    """docs with a number of each row in the column row, if docs are all rows of Parquet files: file and place there.
+
+    Such a number is the same in every reading, so nothing needs to be written down. None for any other
+    docs, as of a filter, a limit or a join, where a row may come and go, or come twice.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        placed = docs.select("*", place["file_path"].alias("own_file"), place["row_index"].alias("row"))
+        there = ws.spark.read.parquet(*docs.inputFiles()).count()
+    except AnalysisException:  # no files, other ones, or several tables
+        return None
+    names = placed.select("own_file").distinct().repartition(1)
+    files = ws.put(names.select("own_file", F.monotonically_increasing_id().alias("own_n")), "files")
+    if files.count() > NUMBERED_FILES:
+        return None
+    rows = placed.join(F.broadcast(files), "own_file").select(*docs.columns, (F.col("own_n") * (1 << 40) + F.col("row")).alias("row"))
+    found = rows.agg(F.count("*").alias("n"), F.count_distinct("row").alias("own")).first()
+    return rows if found.n == found.own == there else None
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not reject.
 
@@ -47,17 +71,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a number that each gets once, not by their ids: rows that share an id
     and not their text all stay, and a row without an id goes like any other. Texts
-    without words link with nothing and stay.
+    without words link with nothing and stay. Documents that are not simply the rows of Parquet files are
+    written down once, with their numbers.
     """
     ws = Workspace(spark, "pipeline")
     plain, back = _plain(docs)
-    rows = ws.put(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = _in_files(ws, plain)
+    if rows is None:
+        rows = ws.put(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = ws.put(jaccard.jaccard_components(spark, rows, "row").select("row", F.col("component_id").alias("group")), "groups")
     # only rows of groups of two and more are looked at further
     many = ws.put(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "many")
     member = ws.put(groups.join(many, "group").join(rows.select("row", "doc_id"), "row"), "member")
     best = ws.put(member.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")).select("group", F.col("best.row").alias("kept")), "best")
     drop = ws.put(member.join(best, "group").where("row <> kept").select("row"), "drop")
+    ws.drop("groups", "many", "member", "best")
     n = drop.count()
     return back(rows.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, "row", "left_anti"))
 

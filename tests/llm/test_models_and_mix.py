@@ -556,6 +556,40 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert P.STAGES[4][1](spark, d, str(tmp_path)).count() == len(rows)
 
 
+def test_near_duplicates_write_no_copy_of_files(spark, tmp_path, monkeypatch):
+    """Rows of files are told apart by their place; only what is not simply files is written down. The same rows stay either way."""
+    import corpus_pipeline as P
+    from tidewell.llm._shared import Workspace
+
+    r = random.Random(9)
+    rows = [(i, prose(r, 40)) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:20]] + [(5, rows[6][1]), (5, rows[5][1]), (None, rows[7][1]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), f"r{n}") for n, (i, t) in enumerate(rows)], DOC + ", row string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    files = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    written, put = [], Workspace.put
+
+    def seen(self, df, name):
+        written.append((name, df.columns))
+        return put(self, df, name)
+
+    monkeypatch.setattr(Workspace, "put", seen)
+    ws = Workspace(spark, "t")
+    every = files.where("text is not null or row <> 'r0'")
+    for d, placed in ((files, True), (every, True), (files.where("row <> 'r3'"), False), (files.limit(50), False), (files.union(files), False), (files.crossJoin(spark.range(2)), False), (docs, False)):
+        at = P._in_files(ws, d.drop("row"))
+        assert (at is not None) == placed and (not placed or at.select("row").distinct().count() == len(rows))
+    kept = []
+    for d, copied in ((files, False), (docs, True)):
+        written.clear()
+        out = P.drop_near_duplicates(spark, d, str(tmp_path))
+        assert out.columns == d.columns
+        kept.append(sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in out.collect()))
+        assert any("text" in c for _, c in written) == copied
+    # the text of 6 stays under the id 5, that of 5 under its own
+    assert kept[0] == kept[1] == sorted([*((i, t) for i, t in rows[:60] if i != 6), (5, rows[6][1]), (-1, "")])
+
+
 def test_mix_of_many_equal_rows(spark):
     """Junk that repeats 20,000 times, with null ids: no group beyond the tree's own, as many taken as wanted."""
     from tidewell.llm import mixing

@@ -384,3 +384,35 @@ def test_keys_travel_in_five_bytes():
     assert n > 100 and sum(map(len, out.column("keys").to_pylist())) == 5 * n
     shared = pa.concat_tables([jaccard._shared_keys([pa.scalar(b)], out.filter(pa.compute.equal(out.column("bucket"), b))) for b in range(4)])
     assert set(shared.column("id").to_pylist()) == {7, 8}
+
+
+def test_keys_of_the_same_members_are_one_in_all_buckets_and_passes():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = {7: text, 8: text + " more", -(2**62): text + " other end", 2**62: "something else altogether " * 9}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()))], ["id", "text"])
+
+    def shared(parts):
+        given, out = [], []
+        for part in range(parts):
+            got = pa.Table.from_batches(list(jaccard._keyed(5, 75, 4, part, parts)(iter([batch]))))
+            given += got.column("bucket").to_pylist()
+            out += [jaccard._shared_keys([pa.scalar(b)], got.filter(pa.compute.equal(got.column("bucket"), b))) for b in set(got.column("bucket").to_pylist())]
+        assert len(given) == len(set(given)) == 4
+        return pa.concat_tables(out).group_by(["key", "id"]).aggregate([("keys", "sum")]).to_pylist()
+
+    once = shared(1)
+    assert sorted(once, key=str) == sorted(shared(2), key=str)
+    members = {}
+    for x in once:
+        members.setdefault(x["key"], set()).add(x["id"])
+    # some hundred keys, no more than the sets of two and three of the three that are alike
+    assert sum(x["keys_sum"] for x in once if x["id"] == 7) > 100 and len(members) <= 4
+    assert len({frozenset(m) for m in members.values()}) == len(members) and set.union(*members.values()) == {7, 8, -(2**62)}
+    for x in ([5], [1, 2, 3], [10, 5, 700], [2**62, -(2**62), 3], [-(2**63), 2**63 - 1], list(range(0, 10**7, 100_001))):
+        assert jaccard._of_steps(jaccard._steps(np.array(x, dtype=np.int64))).tolist() == x
+    assert len(jaccard._steps(np.arange(10**12, 10**12 + 1000))) == 1 + 8 + 999

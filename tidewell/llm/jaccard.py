@@ -17,7 +17,7 @@ sets' symmetric difference; and sets that link at t differ in at most
   as both are cut by every seed up to there. No link depends on chance, but for hash collisions.
 
 Sets equal in content are one class from the start. Classes that share a key are
-candidates. First each member of a key meets the member that shares the most keys overall,
+candidates; keys that the same classes share are one from then on. First each member of a key meets the member that shares the most keys overall,
 usually the text the others were made from; pairs that sizes and sketches leave possible are
 verified on whole sets, and linked classes merge. Then each class outside its key's largest
 component meets the class of another component whose sketch is nearest (in keys of few members:
@@ -30,7 +30,7 @@ copies costs about n verified pairs and no link between components is lost.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,8 @@ TOGETHER = 1000
 KEY_BYTES = 5
 #: Keys that one bucket takes; the number of buckets follows the shingles counted before.
 BUCKET_KEYS = 1_000_000
+#: Times that the keys are made, each time those of other buckets, so that the disk holds one part of them at once.
+PASSES = 2
 ROUNDS = 1
 _SEED = [K.U(0)] + [K.U(0xD6E8FEB86659FD93 * (i + 1) & K._MASK) for i in range(SEEDS - 1)]
 
@@ -217,8 +219,26 @@ def _classes(words: int, percent: int):
     return K.lean(run)
 
 
-def _keyed(words: int, percent: int, buckets: int):
-    """Keys, dealt into buckets and packed by document: 20 bytes a document and KEY_BYTES a key."""
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers as the first one and the steps from each to the next, in as few bytes as hold all of them; the first byte says how many."""
+    step = np.diff(x)
+    for kind in (np.int8, np.int16, np.int32):
+        if not len(step) or (np.iinfo(kind).min <= step.min() and step.max() <= np.iinfo(kind).max):
+            break
+    else:
+        kind = np.int64
+    return bytes([np.dtype(kind).itemsize]) + x[:1].tobytes() + step.astype(kind).tobytes()
+
+
+def _of_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(b, np.int64, 1, 1), np.frombuffer(b, f"i{b[0]}", -1, 9)]), dtype=np.int64)
+
+
+def _keyed(words: int, percent: int, buckets: int, part: int = 0, parts: int = 1):
+    """Keys, dealt into buckets and packed by document: 4 bytes and the set's digest a document, its id in steps, and KEY_BYTES a key.
+
+    part: only the buckets that are part modulo parts.
+    """
 
     def packed(ids, sigs, keys):
         low = (keys & K.U(0xFFFFFFFF)).astype(np.int64) % buckets
@@ -228,9 +248,9 @@ def _keyed(words: int, percent: int, buckets: int):
         rows: list[list] = [[], [], [], [], []]
         for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if a < b:
-                new = np.concatenate([[0], np.flatnonzero(ids[a + 1 : b] != ids[a : b - 1]) + 1])
+                new = np.concatenate([[0], np.flatnonzero((ids[a + 1 : b] != ids[a : b - 1]) | (sigs[a + 1 : b] != sigs[a : b - 1])) + 1])
                 rows[0].append(bucket)
-                rows[1].append(ids[a:b][new].tobytes())
+                rows[1].append(_steps(ids[a:b][new]))
                 rows[2].append(sigs[a:b][new].tobytes())
                 rows[3].append(np.diff(np.append(new, b - a)).astype(np.uint32).tobytes())
                 rows[4].append(np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes())
@@ -251,6 +271,9 @@ def _keyed(words: int, percent: int, buckets: int):
                         done.add(x)
                         new.append(d)
                 d, k = all_keys(s, np.array(new, dtype=np.int64), percent)
+                if parts > 1:
+                    own = (k & K.U(0xFFFFFFFF)).astype(np.int64) % buckets % parts == part
+                    d, k = d[own], k[own]
                 o = np.argsort(d, kind="stable")
                 held.append((ids[a + d[o]].astype(np.int64), sig[d[o]], k[o]))
                 n += len(k)
@@ -264,18 +287,23 @@ def _keyed(words: int, percent: int, buckets: int):
 
 
 def _shared_keys(key, table):
-    """Members of each key that two classes share."""
+    """The sets of classes that share a key: of each a number that follows from its classes, its members, and the keys they share.
+
+    Keys with the same members tell the same pairs, so they are one, here and, by the number, in all buckets.
+    Two sets that had one number by chance would be one larger set: more candidates, none less.
+    """
     ids, sigs, counts, keys = [], [], [], []
     for i, s, c, k in zip(*(table.column(x).to_pylist() for x in ("ids", "sigs", "counts", "keys")), strict=True):
         c = np.frombuffer(c, dtype=np.uint32)
-        ids.append(np.repeat(np.frombuffer(i, dtype=np.int64), c))
+        ids.append(np.repeat(_of_steps(i), c))
         sigs.append(np.frombuffer(s, dtype=np.int64))
         counts.append(c)
         wide = np.zeros((int(c.sum()), 8), dtype=np.uint8)
         wide[:, :KEY_BYTES] = np.frombuffer(k, dtype=np.uint8).reshape(-1, KEY_BYTES)
         keys.append(wide.view(np.int64).ravel())
     # Whole digests become numbers in this table, of half their width, before they are repeated for each key.
-    s = np.repeat(np.unique(np.concatenate(sigs), return_inverse=True)[1].astype(np.int32), np.concatenate(counts))
+    digests, s = np.unique(np.concatenate(sigs), return_inverse=True)
+    s = np.repeat(s.astype(np.int32), np.concatenate(counts))
     i, k = np.concatenate(ids), np.concatenate(keys)
     o = np.argsort(k)
     k = k[o]
@@ -293,10 +321,17 @@ def _shared_keys(key, table):
     inner = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.empty(0, dtype=bool)
     keep = inner.copy()
     keep[:-1] |= inner[1:]
-    i, k = i[keep], k[keep]
+    i, s, k = i[keep], s[keep], k[keep]
+    number, times = np.empty(0, dtype=K.U), np.empty(0, dtype=np.int64)
+    if len(k):
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(first, len(k)))
+        sets = K.mix(np.add.reduceat(K.mix(digests.view(K.U) ^ K.U(0x9FB21C651E98DF25))[s], first) + size.astype(K.U))
+        sets, at, times = np.unique(sets, return_index=True, return_counts=True)
+        row = np.repeat(first[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())
+        i, number, times = i[row], np.repeat(sets, size[at]), np.repeat(times, size[at])
     K.trim()
-    bucket = int(key[0].as_py())
-    return pa.table({"key": pa.array(K.mix(k.astype(K.U) ^ K.U(bucket * 0x9E3779B97F4A7C15 & K._MASK)).view(np.int64)), "id": pa.array(i)})
+    return pa.table({"key": pa.array(number.view(np.int64)), "id": pa.array(i), "keys": pa.array(times.astype(np.int64))})
 
 
 def _packed_sets(words: int):
@@ -492,7 +527,8 @@ def jaccard_components(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     limit = f"a < b and least(na, nb) * 100 >= greatest(na, nb) * {percent}"
 
-    each = ws.put(slim.mapInArrow(_classes(words, percent), "id long, n long, s1 long, s2 long, sketch binary"), "each")
+    sketched = ws.put(slim.mapInArrow(_classes(words, percent), "id long, n long, s1 long, s2 long, sketch binary"), "sketched")
+    each = ws.put(sketched.drop("sketch"), "each")  # stays to the end, so without what is large in it
     full = each.where("n > 0")
     # A table, so that joins with it have two plain sides, of which a hot class can be split.
     reps = ws.put(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "reps")
@@ -500,13 +536,16 @@ def jaccard_components(
 
     shingles = full.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 20, max(2 * partitions(spark), shingles // BUCKET_KEYS))
-    keyed = slim.where("id is not null").mapInArrow(_keyed(words, percent, buckets), "bucket int, ids binary, sigs binary, counts binary, keys binary")
-    shared = ws.put(keyed.groupBy("bucket").applyInArrow(_shared_keys, "key long, id long"), "shared")
-    release(spark)
+    shared = []
+    for part in range(PASSES):
+        keyed = slim.where("id is not null").mapInArrow(_keyed(words, percent, buckets, part, PASSES), "bucket int, ids binary, sigs binary, counts binary, keys binary")
+        shared.append(ws.put(keyed.groupBy("bucket").applyInArrow(_shared_keys, "key long, id long, keys long"), f"shared{part}"))
+        release(spark)
     by_rep = classes.select("id", "rep").distinct()
-    member = ws.put(shared.join(by_rep, "id").select("key", "rep"), "member")
-    ws.drop("shared")
-    look = ws.put(each.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "look")
+    member = ws.put(reduce(DataFrame.union, shared).join(by_rep, "id").groupBy("key", "rep").agg(F.sum("keys").alias("keys")), "member")
+    look = ws.put(sketched.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "look")
+    ws.drop("classes", "sketched", *(f"shared{part}" for part in range(PASSES)))
+    release(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = ws.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
@@ -518,9 +557,11 @@ def jaccard_components(
         return out
 
     # Each member of a key and the one that shares most keys.
-    shares = member.groupBy("rep").agg(F.count("*").alias("keys"))
-    hubs = member.join(shares, "rep").groupBy("key").agg(F.max(F.struct("keys", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    shares = member.groupBy("rep").agg(F.sum("keys").alias("keys"))
+    hubs = member.drop("keys").join(shares, "rep").groupBy("key").agg(F.max(F.struct("keys", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
     star = member.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    star = ws.put(star, "star")
+    release(spark)
     wide = star.join(look.toDF("a", "na", "xa"), "a").join(look.toDF("b", "nb", "xb"), "b").where(limit)
     tried = ws.put(wide.mapInArrow(_near(percent), "a long, b long"), "tried")
     links = verified(tried, "links")
@@ -534,7 +575,10 @@ def jaccard_components(
         # units of one component lie together, in as many places as their rows need
         places = mixed.groupBy("x").agg(F.ceil(F.sum(F.col("c") * F.col("blocks")) / TOGETHER).alias("places"))
         mixed = mixed.join(places, "x").select("key", "blocks", "x", "places")
-        return ws.put(known.join(mixed, "key"), name)
+        out = ws.put(known.join(mixed, "key"), name)
+        ws.drop(f"{name}-keys")
+        release(spark)
+        return out
 
     def apart(known: DataFrame, nearest: bool) -> DataFrame:
         """Pairs that share a key, lie in two components and are near by their sketches."""
@@ -553,13 +597,14 @@ def jaccard_components(
         return dealt.groupBy("bucket").applyInArrow(_apart(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
     for i in range(ROUNDS + 1):
-        narrow = still(member if i == 0 else narrow.select("key", "rep"), label, f"narrow{i}")
+        narrow = still(member.select("key", "rep") if i == 0 else narrow.select("key", "rep"), label, f"narrow{i}")
+        ws.drop("member" if i == 0 else f"narrow{i - 1}")
         rest = ws.put(apart(narrow, i < ROUNDS), f"rest{i}")
         more = verified(rest, f"links{i}")
         tried, links = tried.union(rest), links.union(more)
         if more.limit(1).count():
             label = ws.put(components(spark, Workspace(spark, "jaccard"), links), f"label{i}")
-    ws.drop("member", "look", "tried", *(f"{x}{i}" for x in ("rest", "narrow") for i in range(ROUNDS + 1)), *(f"narrow{i}-keys" for i in range(ROUNDS + 1)))
+    ws.drop("look", "star", "tried", f"narrow{ROUNDS}", *(f"rest{i}" for i in range(ROUNDS + 1)))
 
     final = each.join(reps, ["s1", "s2", "n"], "left").join(label.toDF("rep", "label"), "rep", "left")
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
