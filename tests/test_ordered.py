@@ -147,3 +147,42 @@ def test_overlaps_are_made_in_many_tasks(spark):
     d = spark.range(2000).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 10 * id) as s", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 10 * id, 50) as e").coalesce(1)
     tasks = R.overlap_join(d, d, [], "s", "e", ["id"], ["id"]).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in tasks) == 2000 and len(tasks) > 1
+
+
+@pytest.mark.parametrize("key", [[], ["k"]])
+@pytest.mark.parametrize("block, cell_rows", [(64, 100_000), (3, 100_000), (3, 10), (1, 7)])
+def test_overlaps_in_blocks_and_parts_against_pairs(spark, monkeypatch, key, block, cell_rows):
+    """Blocks that overlap in part, cells dealt into a grid of parts, equal rows, and a value that must be less."""
+    monkeypatch.setattr(R, "BLOCK_ROWS", block)
+    monkeypatch.setattr(R, "CELL_ROWS", cell_rows)
+    r = random.Random(9)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(i, r.choice("ab"), r.choice([None, *range(12)]), at(s := r.randrange(900)), at(s + r.choice([0, 1, 20, 60, 61, 300, 10**6]))) for i in range(140)]
+    rows += [(200 + i, "a", 5, at(30), at(45)) for i in range(20)]
+    a, b = rows, rows[40:]
+    da, db = (spark.createDataFrame(x, "id int, k string, u int, s timestamp_ntz, e timestamp_ntz").repartition(3) for x in (a, b))
+    for less in (None, "u"):
+        out = R.overlap_join(da, db, key, "s", "e", ["u", "id"], ["id", "u"], cell=60, less=less)
+        assert out.columns == [*key, "l_u", "l_id", "r_id", "r_u"]
+        got = [(x.l_id, x.r_id) for x in out.collect()]
+        live = lambda p, q: p[3] < q[4] and q[3] < p[4] and p[3] < p[4] and q[3] < q[4] and (not key or p[1] == q[1])
+        want = {(p[0], q[0]) for p in a for q in b if live(p, q) and (not less or None not in (p[2], q[2]) and p[2] < q[2])}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_overlaps_of_one_cell_fill_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELL_ROWS", 100)
+    d = spark.range(1000).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) as s", "timestamp'2024-01-01 00:20:00' as e").coalesce(1)
+    tasks = R.overlap_join(d, d, [], "s", "e", ["id"], ["id"]).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 1_000_000 and len(tasks) > 1
+
+
+def test_written_overlaps_are_small(spark, tmp_path):
+    """Pairs follow each other so that they pack: scattered ones take more than a byte each."""
+    d = spark.range(3000).selectExpr("xxhash64(id) as id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(xxhash64(id, 1), 3600)) as s").selectExpr("*", "s + make_interval(0, 0, 0, 0, 0, 30) as e")
+    out = R.overlap_join(d, d, [], "s", "e", ["id"], ["id"], less="id")
+    out.write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    times = [x[0].timestamp() for x in d.select("s").collect()]
+    assert pairs == sum(abs(x - y) < 1800 for x in times for y in times) // 2 - 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.9 * pairs
